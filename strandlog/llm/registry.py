@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm.common import read_table
 from strandlog.llm.compression_bands import compression_bands
+from strandlog.llm.hyperdim_lang import language_id
+from strandlog.llm.unigram_pieces import encoding_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_hyperdim_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_unigram_pieces")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
