@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlog.llm.common import read_table
 from strandlog.llm.compression_bands import compression_bands
+from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
 from strandlog.llm.unigram_pieces import encoding_digest
 
@@ -23,6 +24,11 @@ def query(name: str):
     return put
 
 
+@query("op1_dart_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_compression_bands")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
