@@ -7,14 +7,16 @@ one of k coordinates, and the earliest dart of a coordinate is its entry in the
 coordinate with a chance equal to their weighted Jaccard similarity. Where a coordinate got no dart, the rank limit is
 doubled for that document, so that entries never depend on the limit.
 
-Signatures are cut into bands; documents that share a band are compared exactly, each with its band's leader, those
-that do not match with the next leader, and so on until no band holds two that were not compared or settled.
+Signatures are cut into bands. Documents that share a band are compared exactly, first with one leader of the band;
+those that match no leader are compared with more leaders in the next round, until no band holds two that neither were
+compared nor settled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,23 +149,24 @@ def near_classes(
     own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     texts = durable(texts.where(own == F.concat(*[little_endian_hex(c) for c in ("t0", "t1")])).select("id", "text").dropDuplicates(["id"]))
 
-    tested = None  # key, id, leader, similarity of every comparison
-    known = None  # a, b, similarity
+    rounds, leaders_each = [], 1  # of each round: key, id, leader, similarity of its comparisons
     while not pool.isEmpty():
-        leaders = pool.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        led = pool.join(leaders, "key").where("id <> leader")
-        pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        fresh = compared(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), texts, words)
-        fresh = durable(fresh)
-        known = fresh if known is None else known.unionByName(fresh)
-        result = durable(led.join(known.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"]))
-        tested = result if tested is None else tested.unionByName(result)
-        pool = durable(result.where(F.col("similarity") < similarity).select("key", "id"))
+        crowd = pool.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders_each)).alias("part")).agg(F.min("id").alias("leader"))
+        led = pool.join(crowd.select("key", "leader"), "key").where("id <> leader")
+        fresh = compared(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, words)
+        result = durable(led.join(fresh.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"]).select("key", "id", "leader", "similarity"))
+        rounds.append(result)
+        # a leader met its whole band; a row that matched one is settled; the others go on among themselves
+        settled = result.groupBy("key", "id").agg(F.max("similarity").alias("best")).where(F.col("best") >= similarity).select("key", "id").unionByName(result.select("key", F.col("leader").alias("id")).distinct())
+        alone = pool.join(result.select("key").distinct(), "key", "left_semi")
+        pool = durable(alone.join(settled, ["key", "id"], "left_anti"))
+        leaders_each *= 8
+    tested = reduce(DataFrame.unionByName, rounds) if rounds else None
 
     if tested is None:
         labels = None
     else:
-        links = known.where(F.col("similarity") >= similarity).select("a", "b")
+        links = tested.where(F.col("similarity") >= similarity).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         labels = connected_components(links)
         # A member m of leader l and a row c that failed l can still be near. Weighted Jaccard distance is a metric, so
         # that needs d(l, m) >= d(l, c) - (1 - similarity); rows that are already in one class need no test.
