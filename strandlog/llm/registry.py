@@ -10,6 +10,7 @@ from strandlog.llm.common import read_table
 from strandlog.llm.compression_bands import compression_bands
 from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
+from strandlog.llm.suffix_dedup import repeats_digest
 from strandlog.llm.unigram_pieces import encoding_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_unigram_pieces")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read_table(spark, sf_dir, "documents"))
