@@ -7,16 +7,15 @@ one of k coordinates, and the earliest dart of a coordinate is its entry in the
 coordinate with a chance equal to their weighted Jaccard similarity. Where a coordinate got no dart, the rank limit is
 doubled for that document, so that entries never depend on the limit.
 
-Signatures are cut into bands. Documents that share a band are compared exactly, first with one leader of the band;
-those that match no leader are compared with more leaders in the next round, until no band holds two that neither were
-compared nor settled.
+Signatures are cut into bands. Documents that share a band are compared exactly with the band's leader, and the links
+give classes. Of one band's rows in different classes, those pairs are compared too that their distances to the leader
+leave open; so no link inside a band is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +77,7 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
-    """id, text_key (two longs: equal texts have equal ones), bands array<bigint> (empty for texts without a word)."""
+    """id, t0 and t1 (equal for equal texts), weight (shingles), bands array<bigint> (empty for texts without a word)."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +92,11 @@ def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))).astype(np.int32)
                 digest = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in exact[a:b]), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))],
-                    names=["id", "t0", "t1", "bands"],
+                    [batch.column(0).slice(a, b - a), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.bincount(owner, minlength=len(part)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel().view(np.int64)))],
+                    names=["id", "t0", "t1", "weight", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, t0 bigint, t1 bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "id bigint, t0 bigint, t1 bigint, weight bigint, bands array<bigint>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -138,8 +137,8 @@ def near_classes(
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     made = durable(sketches(source, rows, bands, words))
     named = made.where("id IS NOT NULL")
-    reps = durable(named.groupBy("t0", "t1").agg(F.min("id").alias("text_id"), F.min_by("bands", "id").alias("bands")))
-    pool = reps.select(F.explode("bands").alias("key"), F.col("text_id").alias("id"))
+    reps = durable(named.groupBy("t0", "t1").agg(F.min("id").alias("text_id"), F.min_by(F.struct("weight", "bands"), "id").alias("sketch")).select("t0", "t1", "text_id", "sketch.*"))
+    pool = reps.select(F.explode("bands").alias("key"), F.col("text_id").alias("id"), "weight")
     shared = pool.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     pool = durable(pool.join(shared, "key"))
     needed = pool.select("id").distinct()
@@ -149,44 +148,33 @@ def near_classes(
     own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     texts = durable(texts.where(own == F.concat(*[little_endian_hex(c) for c in ("t0", "t1")])).select("id", "text").dropDuplicates(["id"]))
 
-    rounds, leaders_each = [], 1  # of each round: key, id, leader, similarity of its comparisons
-    while not pool.isEmpty():
-        crowd = pool.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders_each)).alias("part")).agg(F.min("id").alias("leader"))
-        led = pool.join(crowd.select("key", "leader"), "key").where("id <> leader")
-        fresh = compared(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, words)
-        result = durable(led.join(fresh.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"]).select("key", "id", "leader", "similarity"))
-        rounds.append(result)
-        # a leader met its whole band; a row that matched one is settled; the others go on among themselves
-        settled = result.groupBy("key", "id").agg(F.max("similarity").alias("best")).where(F.col("best") >= similarity).select("key", "id").unionByName(result.select("key", F.col("leader").alias("id")).distinct())
-        alone = pool.join(result.select("key").distinct(), "key", "left_semi")
-        pool = durable(alone.join(settled, ["key", "id"], "left_anti"))
-        leaders_each *= 8
-    tested = reduce(DataFrame.unionByName, rounds) if rounds else None
-
-    if tested is None:
-        labels = None
-    else:
-        links = tested.where(F.col("similarity") >= similarity).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        labels = connected_components(links)
-        # A member m of leader l and a row c that failed l can still be near. Weighted Jaccard distance is a metric, so
-        # that needs d(l, m) >= d(l, c) - (1 - similarity); rows that are already in one class need no test.
-        slack = 2 * (1 - similarity) + 1e-9
-        of = lambda df: df.join(labels.withColumnRenamed("label", "class_of"), "id", "left").withColumn("class_of", F.coalesce("class_of", "id"))
-        failed = of(tested.where((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - slack)))
-        failed = failed.join(labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_class")), "leader").where("class_of <> leader_class")
-        joined = of(tested.where(F.col("similarity") >= similarity)).select("key", "leader", F.col("id").alias("b"), F.col("similarity").alias("similarity_b"))
-        rest = failed.join(joined, ["key", "leader"]).where(F.col("similarity_b") <= F.col("similarity") + (1 - similarity) + 1e-9)
-        rest = durable(rest.select(F.col("id").alias("a"), "b").distinct())
-        if not rest.isEmpty():
-            more = compared(rest, texts, words).where(F.col("similarity") >= similarity).select("a", "b")
-            labels = connected_components(links.unionByName(more))
+    # The leader of a band is the row that shares the most bands with others: the text that the others are copies of.
+    sizes = pool.groupBy("key").agg(F.count("*").alias("n"))
+    central = pool.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central"))
+    ranked = pool.join(central, "id")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
+    led = durable(pool.join(leaders, "key").where("id <> leader"))
+    tested = compared(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, words)
+    tested = durable(tested)
+    links = tested.where(F.col("similarity") >= similarity).select("a", "b")
+    labels = connected_components(links)
+
+    # Rows of one band in different classes, both farther from its leader than a link or only one of them linked: their
+    # distances to the leader bound their own from below (weighted Jaccard distance is a metric), as do their sizes.
+    band = led.join(tested.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"])
+    named = band.join(labels.withColumnRenamed("label", "known"), "id", "left").select("key", "id", "weight", "leader", "similarity", F.coalesce("known", "id").alias("class_of"))
+    heads = labels.select(F.col("id").alias("leader"), F.col("label").alias("head"))
+    placed = durable(named.join(heads, "leader", "left").select("key", "id", "weight", "similarity", "class_of", F.coalesce("head", "leader").alias("head")))
+    outside = placed.where("class_of <> head").select("key", F.col("id").alias("a"), F.col("weight").alias("weight_a"), F.col("similarity").alias("near_a"), F.col("class_of").alias("class_a"))
+    inside = placed.select("key", F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("similarity").alias("near_b"), F.col("class_of").alias("class_b"), (F.col("class_of") != F.col("head")).alias("both"))
+    rest = outside.join(inside, "key").where("class_a <> class_b AND (NOT both OR a < b)").where((F.least("weight_a", "weight_b") >= similarity * F.greatest("weight_a", "weight_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9))
+    more = durable(compared(rest.select("a", "b").distinct(), texts, words).where(F.col("similarity") >= similarity).select("a", "b"))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
 
     member = made.select("id", "t0", "t1")
     kept = reps.select("t0", "t1", "text_id")
-    if labels is None:
-        kept = kept.withColumn("class_id", F.col("text_id"))
-    else:
-        kept = kept.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left").select("t0", "t1", "text_id", F.coalesce("label", "text_id").alias("class_id"))
+    kept = kept.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left").select("t0", "t1", "text_id", F.coalesce("label", "text_id").alias("class_id"))
     found = member.join(kept, ["t0", "t1"], "left")
     blank = F.col("id").isNull()
     return found.select(F.col("id").alias("doc_id"), F.when(~blank, F.col("text_id")).alias("text_id"), F.when(~blank, F.col("class_id")).alias("class_id"))

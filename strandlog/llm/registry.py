@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlog.llm import raking
 from strandlog.llm.common import read_table
 from strandlog.llm.compression_bands import compression_bands
 from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
 from strandlog.llm.suffix_dedup import repeats_digest
+from strandlog.llm.toxic_lexicon import toxicity
 from strandlog.llm.unigram_pieces import encoding_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +32,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxic_lexicon")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op5_compression_bands")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_raking")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_raking"] = raking.oracle()
+
+
 @query("op7_hyperdim_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ ranks wherever they stand. A global round sorts ranks and drops every position w
 2. At the threshold, the rank pairs of all positions are sorted whose string holds a survivor of the first round.
 
 What stays are the positions whose string of 200 bytes starts elsewhere too. Ranks travel packed by the thousand, dealt
-by their leading bits. The survivors of the first round come back as a bitmap of bounded size; a false hit in it only
+by their leading bits; before the second round texts are put beside their copies, so that a group sends a rank once. The survivors of the first round come back as a bitmap of bounded size; a false hit in it only
 sends positions to the second round that this then drops.
 """
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ BUCKET_RANKS = 1 << 18
 #: The bitmap has eight bits or more for each thinned position, up to this many (128 MB).
 MOST_BITS = 1 << 30
 #: Texts are packed into groups of about so many bytes.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 22
 
 _TABLE = byte_table(3)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -195,49 +196,62 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         bitmap[bucket * per : (bucket + 1) * per] = np.frombuffer(bits.as_py(), dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    plain = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("grp", pa.string()), ("n_starts", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("raw", pa.binary())])
+    told = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("route", pa.int64()), ("n_starts", pa.int64()), ("raw", pa.binary())])
+    plain = pa.schema([*list(told)[:3], ("grp", pa.string()), ("n_starts", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("raw", pa.binary())])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of texts that lose nothing as they are; the others in groups."""
+        """Every row; with its text where it has candidates. route: its least rank, the same for most copies."""
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
+        bits = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = []
+                for i, t in zip(batch.column(0).slice(at, 1000).to_pylist(), batch.column(1).slice(at, 1000), strict=True):
+                    raw = t.as_py().encode("utf-8", "surrogatepass")
+                    starts, route = 0, 0 if i is None else i
+                    if len(raw) >= length:
+                        h = half_ranks(np.frombuffer(raw, dtype=np.uint8), half)
+                        starts = len(candidates(h, half, length, bits, shift))
+                        route = int(h.min().view(np.int64))
+                    rows.append((i, len(raw), hashlib.sha256(raw).hexdigest(), route, starts, zip_.compress(raw) if starts else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), told, strict=True)], schema=told)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts that lose nothing as they are; the others in groups, copies beside each other."""
         import zstandard
 
         task = TaskContext.get().partitionId()
-        zip_ = zstandard.ZstdCompressor(level=1)
-        bits, serial = shared.value, 0
+        zip_, unzip, serial = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), 0
         held: list[tuple[int | None, bytes, int]] = []
+        size = 0
 
         def give() -> pa.RecordBatch:
-            nonlocal serial, held
+            nonlocal serial, held, size
             ids = np.array([0 if i is None else i for i, _, _ in held], dtype=np.int64).tobytes() + bytes(i is None for i, _, _ in held)
             sizes = np.array([len(raw) for _, raw, _ in held], dtype=np.int64).tobytes()
             row = pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, f"{task}-{serial}", sum(n for _, _, n in held), ids, sizes, zip_.compress(b"".join(raw for _, raw, _ in held))), plain, strict=True)], schema=plain)
-            serial, held = serial + 1, []
+            serial, held, size = serial + 1, [], 0
             return row
 
         for batch in batches:
-            clean: list[tuple] = []
-            size = sum(len(raw) for _, raw, _ in held)
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = t.as_py().encode("utf-8", "surrogatepass")
-                starts = 0
-                if len(raw) >= length:
-                    starts = len(candidates(half_ranks(np.frombuffer(raw, dtype=np.uint8), half), half, length, bits, shift))
-                if starts:
-                    held.append((i, raw, starts))
-                    size += len(raw)
-                    if size >= GROUP_BYTES:
-                        yield give()
-                        size = 0
-                else:
-                    clean.append((i, len(raw), hashlib.sha256(raw).hexdigest()))
-            if clean:
-                columns = list(zip(*clean, strict=True))
-                absent = [pa.nulls(len(clean), f.type) for f in list(plain)[3:]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, plain, strict=False)), *absent], schema=plain)
+            with_text = batch.column(5).is_valid()
+            clean = batch.filter(pa.compute.invert(with_text))
+            if clean.num_rows:
+                absent = [pa.nulls(clean.num_rows, f.type) for f in list(plain)[3:]]
+                yield pa.RecordBatch.from_arrays([*(clean.column(k) for k in range(3)), *absent], schema=plain)
+            rest = batch.filter(with_text)
+            for i, n, z in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist(), rest.column(5), strict=True):
+                held.append((i, unzip.decompress(z.as_py()), n))
+                size += len(held[-1][1])
+                if size >= GROUP_BYTES:
+                    yield give()
         if held:
             yield give()
 
-    sorted_out = durable(source.mapInArrow(second, "id bigint, n_bytes bigint, sha string, grp string, n_starts bigint, ids binary, sizes binary, raw binary"))
+    routed = source.mapInArrow(second, "id bigint, n_bytes bigint, sha string, route bigint, n_starts bigint, raw binary").hint("rebalance", "route").sortWithinPartitions("route", "sha")
+    sorted_out = durable(routed.mapInArrow(pack, "id bigint, n_bytes bigint, sha string, grp string, n_starts bigint, ids binary, sizes binary, raw binary"))
     groups = sorted_out.where("grp IS NOT NULL")
     starts = groups.agg(F.sum("n_starts")).first()[0] or 0
     full_bits = max(10, pow2_at_least(starts / BUCKET_RANKS))
