@@ -75,12 +75,17 @@ def thinned(halves: np.ndarray, half: int, length: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == halves)
 
 
+def spread(ranks: np.ndarray) -> np.ndarray:
+    """Ranks that were chosen for being small, spread evenly again."""
+    return mix64(ranks ^ _PAIR)
+
+
 def candidates(halves: np.ndarray, half: int, length: int, bits: np.ndarray, shift: int) -> np.ndarray:
     """Start positions of the strings that hold a thinned position whose rank is in the bitmap."""
     at = thinned(halves, half, length)
     if not len(at):
         return at
-    place = halves[at] >> np.uint64(shift)
+    place = spread(halves[at]) >> np.uint64(shift)
     at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
     starts = len(halves) - (length - half)
     count = np.zeros(starts + 1, dtype=np.int32)
@@ -172,7 +177,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 if len(raw) < length:
                     continue
                 h = half_ranks(raw, half)
-                found.append(h[thinned(h, half, length)])
+                found.append(spread(h[thinned(h, half, length)]))
                 size += len(found[-1])
                 if size > 1 << 21:
                     yield from give()
