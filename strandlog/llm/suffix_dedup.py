@@ -80,13 +80,20 @@ def spread(ranks: np.ndarray) -> np.ndarray:
     return mix64(ranks ^ _PAIR)
 
 
-def candidates(halves: np.ndarray, half: int, length: int, bits: np.ndarray, shift: int) -> np.ndarray:
+def places(ranks: np.ndarray, bucket_bits: int, map_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each rank in the bitmap, both in the stretch of its bucket."""
+    inner = np.uint64((1 << (map_bits - bucket_bits)) - 1)
+    first = ranks >> np.uint64(64 - map_bits)
+    return first.astype(np.int64), ((first & ~inner) | (ranks & inner)).astype(np.int64)
+
+
+def candidates(halves: np.ndarray, half: int, length: int, bits: np.ndarray, bucket_bits: int, map_bits: int) -> np.ndarray:
     """Start positions of the strings that hold a thinned position whose rank is in the bitmap."""
     at = thinned(halves, half, length)
     if not len(at):
         return at
-    place = spread(halves[at]) >> np.uint64(shift)
-    at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    one, two = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1 for p in places(spread(halves[at]), bucket_bits, map_bits))
+    at = at[one & two]
     starts = len(halves) - (length - half)
     count = np.zeros(starts + 1, dtype=np.int32)
     np.add.at(count, np.maximum(at - (length - half), 0), 1)
@@ -159,7 +166,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     thin_bits = pow2_at_least(2 * sized / (length - half + 1) / BUCKET_RANKS)
     bucket_bits = max(10, thin_bits)
     map_bits = max(bucket_bits + 3, min(pow2_at_least(16 * sized / (length - half + 1)), pow2_at_least(MOST_BITS)))
-    shift = 64 - map_bits
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -187,9 +193,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def first_round(table: pa.Table) -> pa.Table:
         ranks, twice, _ = unpacked(table.column("ranks").to_pylist(), table.column("twice").to_pylist())
         bucket = table.column("bucket")[0].as_py()
-        place = (repeated(ranks, twice) >> np.uint64(shift)).astype(np.int64) - (bucket << (map_bits - bucket_bits))
         segment = np.zeros(1 << (map_bits - bucket_bits), dtype=np.uint8)
-        segment[place] = 1
+        for place in places(repeated(ranks, twice), bucket_bits, map_bits):
+            segment[place - (bucket << (map_bits - bucket_bits))] = 1
         return pa.table({"bucket": [bucket], "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
 
     packs = source.select("id", "text").mapInArrow(first, "bucket bigint, ranks binary, twice binary")
@@ -218,7 +224,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     starts, route = 0, 0 if i is None else i
                     if len(raw) >= length:
                         h = half_ranks(np.frombuffer(raw, dtype=np.uint8), half)
-                        starts = len(candidates(h, half, length, bits, shift))
+                        starts = len(candidates(h, half, length, bits, bucket_bits, map_bits))
                         route = int(h.min().view(np.int64))
                     rows.append((i, len(raw), hashlib.sha256(raw).hexdigest(), route, starts, zip_.compress(raw) if starts else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), told, strict=True)], schema=told)
@@ -267,7 +273,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         for n in sizes.tolist():
             h = half_ranks(np.frombuffer(raws, dtype=np.uint8, count=n, offset=at), half)
             at += n
-            c = candidates(h, half, length, shared.value, shift)
+            c = candidates(h, half, length, shared.value, bucket_bits, map_bits)
             yield c, full_ranks(h, half, length)[c]
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
