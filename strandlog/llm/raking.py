@@ -8,7 +8,7 @@ expectation. Draws depend on the seed and the document's id only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import durable
@@ -17,6 +17,8 @@ DIMS = ("source", "lang", "topic")
 ROUNDS = 20
 #: Without given targets, the target of a value is its token share to this power, normalised.
 TEMPERATURE = 0.8
+#: So many cells are scaled in one task; more are grouped and joined.
+ONE_TASK_CELLS = 100_000
 SEED = "mix"
 NONE = "(none)"
 
@@ -59,6 +61,18 @@ def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, targets: dict[str, Data
     given = targets or {}
     aims = {d: durable((given[d].select(d, "share") if d in given else default_targets(cells, d, temperature)).select(d, (F.col("share") * total).alias("aim"))) for d in dims}
     fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    if cells.count() <= ONE_TASK_CELLS:
+        # few cells: one task scales them all, without an exchange
+        for d in dims:
+            fitted = fitted.join(aims[d].withColumnRenamed("aim", f"aim_{d}"), d, "left")
+        fitted = durable(fitted.coalesce(1))
+        for at in range(rounds):
+            for d in dims:
+                have = F.sum("fitted").over(Window.partitionBy(d))
+                fitted = fitted.withColumn("fitted", F.col("fitted") * F.coalesce(F.col(f"aim_{d}") / F.when(have > 0, have), F.lit(0.0)))
+            if at % 5 == 4:
+                fitted = durable(fitted)
+        return fitted.select(*dims, "tokens", "fitted")
     for _ in range(rounds):
         for d in dims:
             sums = fitted.groupBy(d).agg(F.sum("fitted").alias("have")).join(aims[d], d, "left")

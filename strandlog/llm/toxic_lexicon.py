@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandlog.llm.common import durable
 
 #: The lexicon and the curve are fitted on about so many labelled rows at most, drawn by a hash of their ids.
-TRAIN_DOCS = 40_000
+TRAIN_DOCS = 20_000
 MOST_ENTRIES, MOST_EXCEPTIONS = 4000, 500
 #: An entry needs so many toxic documents, and so much more of them in share (log odds).
 LEAST_SUPPORT, LEAST_LOG_ODDS = 3, 2.0
@@ -148,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, train_docs: int = TRA
     share = min(1.0, train_docs / max(1, n))
     drawn = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << 20)) < int(share * (1 << 20))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).where(drawn(F.col("id")))
-    rows = durable(rows.join(known.where(drawn(F.col("id"))), "id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    # the drawn labels are about train_docs rows of two numbers, so the texts need no shuffle
+    rows = durable(rows.join(F.broadcast(known.where(drawn(F.col("id")))), "id").select("text", F.col("toxic").cast("int").alias("toxic")))
 
     def toxic_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
