@@ -11,6 +11,7 @@ from strandlog.llm.common import read_table
 from strandlog.llm.compression_bands import compression_bands
 from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
+from strandlog.llm.imatch import imatch
 from strandlog.llm.suffix_dedup import repeats_digest
 from strandlog.llm.toxic_lexicon import toxicity
 from strandlog.llm.unigram_pieces import encoding_digest
@@ -32,6 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))
 
 
+@query("op2_imatch")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxic_lexicon")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
