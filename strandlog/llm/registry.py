@@ -12,6 +12,7 @@ from strandlog.llm.compression_bands import compression_bands
 from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
 from strandlog.llm.imatch import imatch
+from strandlog.llm.quote_links import quote_links
 from strandlog.llm.suffix_dedup import repeats_digest
 from strandlog.llm.toxic_lexicon import toxicity
 from strandlog.llm.unigram_pieces import encoding_digest
@@ -43,6 +44,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op4_quote_links")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links(read_table(spark, sf_dir, "conversations"))
+
+
 @query("op5_compression_bands")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
