@@ -12,6 +12,7 @@ from strandlog.llm.compression_bands import compression_bands
 from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
 from strandlog.llm.imatch import imatch
+from strandlog.llm.license_scan import license_scan
 from strandlog.llm.quote_links import quote_links
 from strandlog.llm.suffix_dedup import repeats_digest
 from strandlog.llm.toxic_lexicon import toxicity
@@ -77,6 +78,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(read_table(spark, sf_dir, "documents"))
 
 
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
