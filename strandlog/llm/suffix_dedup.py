@@ -164,7 +164,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     sized = source.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     thin_bits = pow2_at_least(2 * sized / (length - half + 1) / BUCKET_RANKS)
-    bucket_bits = max(10, thin_bits)
+    bucket_bits = max(4, thin_bits)
     map_bits = max(bucket_bits + 3, min(pow2_at_least(16 * sized / (length - half + 1)), pow2_at_least(MOST_BITS)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     sorted_out = durable(routed.mapInArrow(pack, "id bigint, n_bytes bigint, sha string, grp string, n_starts bigint, ids binary, sizes binary, raw binary"))
     groups = sorted_out.where("grp IS NOT NULL")
     starts = groups.agg(F.sum("n_starts")).first()[0] or 0
-    full_bits = max(10, pow2_at_least(starts / BUCKET_RANKS))
+    full_bits = max(4, pow2_at_least(starts / BUCKET_RANKS))
 
     def ranks_of(raws: bytes, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(candidate starts, their ranks) of each text of a group."""
