@@ -99,23 +99,62 @@ def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, t0 bigint, t1 bigint, weight bigint, bands array<bigint>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """a, b, similarity of the pairs (a, b); texts: id, text."""
+def changes(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What a has more than b, then what it has less, each sorted: one number for each copy of a shingle. Equal changes
+    of two documents against the same b have equal numbers."""
+    both = np.union1d(a[0], b[0])
+    have, had = (np.zeros(len(both), dtype=np.int64) for _ in range(2))
+    have[np.searchsorted(both, a[0])] = a[1]
+    had[np.searchsorted(both, b[0])] = b[1]
+    parts = []
+    for more, sign in ((have - had, 1), (had - have, 2)):
+        at = np.flatnonzero(more > 0)
+        n = more[at]
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.minimum(have, had)[at], n)
+        numbers = mix64(np.repeat(both[at], n) + copy.astype(np.uint64) * _COPY)
+        parts.append(np.sort(mix64(numbers ^ np.uint64(sign))))
+    return np.concatenate(parts)
+
+
+def prefix(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], near: float, similarity: float) -> np.ndarray:
+    """The first changes of a against its leader b. Two documents of one leader that are linked, but not both with the
+    leader, have one of these in common.
+
+    They are linked if their changes differ in at most t of their weights together, t = (1 - s) / (1 + s). So they share
+    at least half of (d1 + d2 - t (w1 + w2)) changes, and of sets that share o, all but the last o - 1 must meet.
+    """
+    d = changes(a, b)
+    wa, wb, t = int(a[1].sum()), int(b[1].sum()), (1 - similarity) / (1 + similarity)
+    if near >= similarity:  # the other one has more than t (w + wb) changes
+        shared = (len(d) + t * (wb - wa)) / 2
+    else:  # the other one has shared changes at least, and at most 1 / s of the weight
+        shared = len(d) - t * wa * (1 + 1 / similarity)
+    return d[: len(d) - max(1, math.ceil(shared - 1e-6)) + 1]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity, weight (of a), prefix of the pairs (a, b); texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, tuple] = (None, ())
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = []
+            a, b = batch.column(0), batch.column(1).to_pylist()
+            near, weights, firsts = [], [], []
             for k, leader in enumerate(b):
                 if leader != last[0]:
                     last = leader, multiset(folded(batch.column(3)[k].as_py()), words)
-                found.append(weighted_jaccard(multiset(folded(batch.column(2)[k].as_py()), words), last[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+                own = multiset(folded(batch.column(2)[k].as_py()), words)
+                near.append(weighted_jaccard(own, last[1]))
+                weights.append(int(own[1].sum()))
+                firsts.append(prefix(own, last[1], near[-1], similarity).view(np.int64))
+            ends = np.cumsum([0] + [len(f) for f in firsts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([a, batch.column(1), pa.array(near, pa.float64()), pa.array(weights, pa.int64()), lists], names=["a", "b", "similarity", "weight", "prefix"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    return joined.mapInArrow(run, "a bigint, b bigint, similarity double, weight bigint, prefix array<bigint>")
 
 
 def near_classes(
@@ -153,22 +192,22 @@ def near_classes(
     central = pool.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central"))
     ranked = pool.join(central, "id")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-    led = durable(pool.join(leaders, "key").where("id <> leader"))
-    tested = compared(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), texts, words)
-    tested = durable(tested)
+    led = pool.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    tested = durable(compared(led, texts, words, similarity))
     links = tested.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links)
 
-    # Rows of one band in different classes, both farther from its leader than a link or only one of them linked: their
-    # distances to the leader bound their own from below (weighted Jaccard distance is a metric), as do their sizes.
-    band = led.join(tested.select(F.col("a").alias("id"), F.col("b").alias("leader"), "similarity"), ["id", "leader"])
-    named = band.join(labels.withColumnRenamed("label", "known"), "id", "left").select("key", "id", "weight", "leader", "similarity", F.coalesce("known", "id").alias("class_of"))
-    heads = labels.select(F.col("id").alias("leader"), F.col("label").alias("head"))
-    placed = durable(named.join(heads, "leader", "left").select("key", "id", "weight", "similarity", "class_of", F.coalesce("head", "leader").alias("head")))
-    outside = placed.where("class_of <> head").select("key", F.col("id").alias("a"), F.col("weight").alias("weight_a"), F.col("similarity").alias("near_a"), F.col("class_of").alias("class_a"))
-    inside = placed.select("key", F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("similarity").alias("near_b"), F.col("class_of").alias("class_b"), (F.col("class_of") != F.col("head")).alias("both"))
-    rest = outside.join(inside, "key").where("class_a <> class_b AND (NOT both OR a < b)").where((F.least("weight_a", "weight_b") >= similarity * F.greatest("weight_a", "weight_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - similarity + 1e-9))
-    more = durable(compared(rest.select("a", "b").distinct(), texts, words).where(F.col("similarity") >= similarity).select("a", "b"))
+    # Rows of one leader in different classes, not both linked with it, can still be linked: then they share a change
+    # against the leader among their first ones. Most changes are a row's own, so few rows meet.
+    named = tested.join(labels.select(F.col("id").alias("a"), F.col("label").alias("known")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("head")), "b", "left")
+    placed = durable(named.select("a", "b", "weight", "prefix", F.coalesce("known", "a").alias("class_of"), F.coalesce("head", "b").alias("head")))
+    outside = placed.where("class_of <> head")
+    beside = placed.join(outside.select("b").distinct(), "b", "left_semi")
+    one = outside.select("b", F.explode("prefix").alias("change"), F.col("a").alias("a1"), F.col("weight").alias("w1"), F.col("class_of").alias("c1"))
+    two = beside.select("b", F.explode("prefix").alias("change"), F.col("a").alias("a2"), F.col("weight").alias("w2"), F.col("class_of").alias("c2"), (F.col("class_of") != F.col("head")).alias("out"))
+    rest = one.join(two, ["b", "change"]).where("c1 <> c2 AND (NOT out OR a1 < a2)").where(F.least("w1", "w2") >= similarity * F.greatest("w1", "w2"))
+    rest = rest.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
+    more = durable(compared(rest, texts, words, similarity).where(F.col("similarity") >= similarity).select("a", "b"))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
