@@ -87,7 +87,7 @@ class DoubleArray:
                 first += int(np.argmax(empty[first:]))
             at = max(0, first - codes[0] - 1)
             while True:
-                if at + 4096 + 257 > len(empty):
+                while at + 4096 + 257 > len(empty):
                     base, check, value = (np.concatenate([x, np.full(len(x), fill, dtype=np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
                     empty = np.concatenate([empty, np.ones(len(empty), dtype=bool)])
                 fits = empty[at + codes[0] + 1 : at + codes[0] + 4097].copy()
