@@ -8,8 +8,8 @@ coordinate with a chance equal to their weighted Jaccard similarity. Where a coo
 doubled for that document, so that entries never depend on the limit.
 
 Signatures are cut into bands. Documents that share a band are compared exactly with the band's leader, and the links
-give classes. Of one band's rows in different classes, those pairs are compared too that their distances to the leader
-leave open; so no link inside a band is lost, and no group is expanded into all its pairs.
+give classes. Rows that this leaves outside their leader's class are then held, by what they changed against the leader,
+against all rows of the leader, in blocks; so no link between rows of one leader is lost, and pairs are never rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from strandlog.llm.shingles import WORDS, folded, in_chunks, multiset, shingle_h
 SIMILARITY = 0.8
 #: At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8^5)^26, about 3e-5.
 ROWS, BANDS = 5, 26
+#: Rows of one leader that are held against each other in one task.
+BLOCK_ROWS = 4096
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,45 +118,53 @@ def changes(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return np.concatenate(parts)
 
 
-def prefix(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], near: float, similarity: float) -> np.ndarray:
-    """The first changes of a against its leader b. Two documents of one leader that are linked, but not both with the
-    leader, have one of these in common.
+def links_between(x: list[tuple], y: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows (id, weight, class, changes) of x and of y in different classes, one for each row of x and class.
 
-    They are linked if their changes differ in at most t of their weights together, t = (1 - s) / (1 + s). So they share
-    at least half of (d1 + d2 - t (w1 + w2)) changes, and of sets that share o, all but the last o - 1 must meet.
+    All rows have one leader, so two texts differ in what only one of their changes has. They are linked if that is at
+    most t of their weights together, t = (1 - s) / (1 + s).
     """
-    d = changes(a, b)
-    wa, wb, t = int(a[1].sum()), int(b[1].sum()), (1 - similarity) / (1 + similarity)
-    if near >= similarity:  # the other one has more than t (w + wb) changes
-        shared = (len(d) + t * (wb - wa)) / 2
-    else:  # the other one has shared changes at least, and at most 1 / s of the weight
-        shared = len(d) - t * wa * (1 + 1 / similarity)
-    return d[: len(d) - max(1, math.ceil(shared - 1e-6)) + 1]
-
-
-def compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity, weight (of a), prefix of the pairs (a, b); texts: id, text."""
+    t = (1 - similarity) / (1 + similarity)
+    shared = np.zeros((len(x), len(y)), dtype=np.int32)
+    rows = [np.repeat(np.arange(len(z)), [len(r[3]) for r in z]) for z in (x, y)]
+    values = [np.concatenate([r[3] for r in z]) for z in (x, y)]
+    order = [np.argsort(v, kind="stable") for v in values]
+    rows, values = [r[o] for r, o in zip(rows, order, strict=True)], [v[o] for v, o in zip(values, order, strict=True)]
+    for v in np.intersect1d(values[0], values[1]):
+        xs, ys = (r[np.searchsorted(w, v) : np.searchsorted(w, v, side="right")] for r, w in zip(rows, values, strict=True))
+        shared[xs[:, None], ys[None, :]] += 1
+    sizes = [np.array([len(r[3]) for r in z]) for z in (x, y)]
+    weights = [np.array([r[1] for r in z]) for z in (x, y)]
+    classes = [np.array([r[2] for r in z]) for z in (x, y)]
+    apart = sizes[0][:, None] + sizes[1][None, :] - 2 * shared
+    near = (apart <= t * (weights[0][:, None] + weights[1][None, :]) + 1e-9) & (classes[0][:, None] != classes[1][None, :])
+    found = {(k, int(classes[1][m])): m for k, m in zip(*(z.tolist() for z in np.nonzero(near)), strict=True)}
+    return [(x[k][0], y[m][0]) for (k, _), m in found.items()]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """a, b, similarity, weight (of a), changes (of a against b) of the pairs (a, b); texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, tuple] = (None, ())
         for batch in batches:
             a, b = batch.column(0), batch.column(1).to_pylist()
-            near, weights, firsts = [], [], []
+            near, weights, made = [], [], []
             for k, leader in enumerate(b):
                 if leader != last[0]:
                     last = leader, multiset(folded(batch.column(3)[k].as_py()), words)
                 own = multiset(folded(batch.column(2)[k].as_py()), words)
                 near.append(weighted_jaccard(own, last[1]))
                 weights.append(int(own[1].sum()))
-                firsts.append(prefix(own, last[1], near[-1], similarity).view(np.int64))
-            ends = np.cumsum([0] + [len(f) for f in firsts]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([a, batch.column(1), pa.array(near, pa.float64()), pa.array(weights, pa.int64()), lists], names=["a", "b", "similarity", "weight", "prefix"])
+                made.append(changes(own, last[1]).view(np.int64))
+            ends = np.cumsum([0] + [len(c) for c in made]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.empty(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([a, batch.column(1), pa.array(near, pa.float64()), pa.array(weights, pa.int64()), lists], names=["a", "b", "similarity", "weight", "changes"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, similarity double, weight bigint, prefix array<bigint>")
+    return joined.mapInArrow(run, "a bigint, b bigint, similarity double, weight bigint, changes array<bigint>")
 
 
 def near_classes(
@@ -193,21 +203,29 @@ def near_classes(
     ranked = pool.join(central, "id")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
     led = pool.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    tested = durable(compared(led, texts, words, similarity))
+    tested = durable(compared(led, texts, words))
     links = tested.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links)
 
-    # Rows of one leader in different classes, not both linked with it, can still be linked: then they share a change
-    # against the leader among their first ones. Most changes are a row's own, so few rows meet.
+    # Rows of one leader in different classes, not both linked with it, can still be linked. The rows outside the
+    # leader's class are held against all its rows, in blocks, so that a task has two blocks of rows at most.
     named = tested.join(labels.select(F.col("id").alias("a"), F.col("label").alias("known")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("head")), "b", "left")
-    placed = durable(named.select("a", "b", "weight", "prefix", F.coalesce("known", "a").alias("class_of"), F.coalesce("head", "b").alias("head")))
-    outside = placed.where("class_of <> head")
-    beside = placed.join(outside.select("b").distinct(), "b", "left_semi")
-    one = outside.select("b", F.explode("prefix").alias("change"), F.col("a").alias("a1"), F.col("weight").alias("w1"), F.col("class_of").alias("c1"))
-    two = beside.select("b", F.explode("prefix").alias("change"), F.col("a").alias("a2"), F.col("weight").alias("w2"), F.col("class_of").alias("c2"), (F.col("class_of") != F.col("head")).alias("out"))
-    rest = one.join(two, ["b", "change"]).where("c1 <> c2 AND (NOT out OR a1 < a2)").where(F.least("w1", "w2") >= similarity * F.greatest("w1", "w2"))
-    rest = rest.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    more = durable(compared(rest, texts, words, similarity).where(F.col("similarity") >= similarity).select("a", "b"))
+    placed = durable(named.select("a", "b", "weight", "changes", F.coalesce("known", "a").alias("class_of"), (F.coalesce("known", "a") != F.coalesce("head", "b")).alias("out")))
+    crowds = placed.groupBy("b").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).where("n > 1 AND n_out > 0")
+    dealt = placed.join(crowds.select("b", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "b").withColumn("own", F.pmod(F.hash("a"), "blocks"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    one = dealt.where("out").select("b", F.col("own").alias("i"), others, "a", "weight", "class_of", "changes", F.lit(True).alias("asks")).withColumnRenamed("other", "j")
+    two = dealt.select("b", F.col("own").alias("j"), others, "a", "weight", "class_of", "changes", F.lit(False).alias("asks")).withColumnRenamed("other", "i")
+
+    def hold(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        columns = (table.column(c).to_pylist() for c in ("a", "weight", "class_of", "asks"))
+        for a, w, c, asks, made in zip(*columns, table.column("changes"), strict=True):
+            sides[0 if asks else 1].append((a, w, c, np.asarray(made.values)))
+        found = links_between(*sides, similarity) if all(sides) else []
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    more = durable(one.unionByName(two).groupBy("b", "i", "j").applyInArrow(hold, "a bigint, b bigint"))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 

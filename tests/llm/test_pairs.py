@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from strandlog.llm import suffix_dedup
-from strandlog.llm.dart_minhash import changes, near_classes, signatures
+from strandlog.llm import dart_minhash, suffix_dedup
+from strandlog.llm.dart_minhash import changes, links_between, near_classes, signatures
 from strandlog.llm.imatch import imatch
 from strandlog.llm.shingles import folded, multiset, shingle_hashes, weighted_jaccard
 from strandlog.llm.suffix_dedup import removed_spans, repeats_digest
@@ -37,7 +38,9 @@ def corpus(seed=3):
     return texts
 
 
-def test_near_classes(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(dart_minhash, "BLOCK_ROWS", block)
     texts = corpus()
     sets = [multiset(folded(t)) for t in texts]
     parent = list(range(len(texts)))
@@ -56,6 +59,18 @@ def test_near_classes(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == {k: root(k) for k in range(len(texts))}
 
 
+def test_links_between():
+    draw = random.Random(13)
+    base = text_of(draw, 100)
+    lead = multiset(folded(base))
+    texts = [edited(draw, base, draw.randrange(1, 9)) for _ in range(30)]
+    texts += [edited(draw, t, 1) for t in texts[:10]]
+    sets = [multiset(folded(t)) for t in texts]
+    rows = [(k, int(m[1].sum()), k % 37, changes(m, lead).view(np.int64)) for k, m in enumerate(sets)]
+    expected = {(i, rows[j][2]) for i in range(40) for j in range(40) if rows[i][2] != rows[j][2] and weighted_jaccard(sets[i], sets[j]) >= 0.8}
+    assert {(i, rows[j][2]) for i, j in links_between(rows, rows, 0.8)} == expected and expected
+
+
 def test_signatures_agree_as_often_as_the_similarity():
     draw = random.Random(5)
     a = text_of(draw, 400)
