@@ -48,12 +48,20 @@ def matching(log: Log, query: Query, until: int | None = None) -> tuple[DataFram
     """The records that any filter matches, each once, with hits."""
     filters = normalised(query)
     df = log.df if until is None else log.df.where(F.col("sequence") <= until)
-    payload = F.parse_json("payload")
-    tests: list[Column] = [compiled(f, log.scope_of, payload, F.col("event_type")) for f in filters]
+    columns = df.columns
+    if any(needs_payload(f, log) for f in filters):
+        df = df.withColumn("_v", F.parse_json("payload"))  # parsed once, however many predicates look at it
+    payload = F.col("_v")
+    tests: list[Column] = [compiled(f, lambda k: log.scope_of(k, payload), payload, F.col("event_type")) for f in filters]
     some = tests[0]
     for t in tests[1:]:
         some = some | t
-    return df.where(some).withColumn("hits", F.array(*tests)), filters
+    return df.where(some).select(*columns, F.array(*tests).alias("hits")), filters
+
+
+def needs_payload(f: dict, log: Log) -> bool:
+    """Whether a filter looks at more than types and physical scope columns."""
+    return "where" in f or any(k not in log.scope_keys for k in f.get("scopes", {})) or any(needs_payload(n, log) for n in f.get("not", []))
 
 
 def read(log: Log, query: Query, **options: Any) -> Read:

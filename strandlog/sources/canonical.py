@@ -32,8 +32,9 @@ class Log:
     id_keys: dict[str, str] = field(default_factory=dict)
     tenant_key: str | None = None
 
-    def scope_of(self, key: str) -> Column:
-        return F.col(f"scope_{key}") if key in self.scope_keys else scope_value(F.parse_json("payload"), key)
+    def scope_of(self, key: str, payload: Column | None = None) -> Column:
+        """The physical column of a key, else the rule over the (parsed) payload."""
+        return F.col(f"scope_{key}") if key in self.scope_keys else scope_value(F.parse_json("payload") if payload is None else payload, key)
 
     def with_df(self, change: Callable[[DataFrame], DataFrame]) -> Log:
         return Log(change(self.df), self.scope_keys, self.watermark, self.id_keys, self.tenant_key)
@@ -45,9 +46,10 @@ class Log:
 
 def extracted(df: DataFrame, scope_keys: tuple[str, ...]) -> DataFrame:
     """A log's physical columns from sequence, transaction_id, event_type, payload, recorded_at: what a writer adds."""
-    v = F.parse_json("payload")
+    parsed = df.withColumn("_v", F.parse_json("payload"))  # a column of its own, so that it is parsed once for all keys
+    v = F.col("_v")
     own = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$."), default_id_key_column(F.col("event_type"))))
-    return df.select("*", own.alias("event_id"), *[scope_value(v, k).alias(f"scope_{k}") for k in scope_keys])
+    return parsed.select(*df.columns, own.alias("event_id"), *[scope_value(v, k).alias(f"scope_{k}") for k in scope_keys])
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> Log:
