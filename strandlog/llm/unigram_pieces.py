@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +24,12 @@ MARKER = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character written as bytes scores so much below the worst piece.
 FALLBACK_PENALTY = 10.0
-#: Words whose segmentation a worker keeps; they are thrown away together when there are more.
-KEPT_WORDS = 200_000
+#: Words whose segmentation a worker keeps, twice: when there are more, those not met since go.
+KEPT_WORDS = 250_000
 
 NORMAL, BYTE, OTHER = 0, 1, 2
+_MARKS = ",.;:!?\"'()"
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
@@ -134,9 +137,16 @@ class Encoder:
             raise ValueError("byte fallback needs a piece for each of the 256 bytes")
         self.fallback = min((pieces.scores[i] for i in normal.values()), default=0.0) - FALLBACK_PENALTY
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARKER, " ").encode() if k == NORMAL else b"" for p, k in zip(pieces.texts, pieces.kinds, strict=True)]
-        # no piece spans a change from other characters to a space, nor a line feed if none holds one: words stand alone
-        alone = "\n" if not any(b"\n" in p for p in normal) else ""
-        self.words = re.compile(f"{MARKER}|{alone}| *[^ {MARKER}{alone}]+| +" if alone else f"{MARKER}| *[^ {MARKER}]+| +").findall
+        # Words stand alone where no piece spans their edge: at a space after other characters, at a line feed if no
+        # piece holds one, and between a letter and a punctuation mark where no piece has the two side by side.
+        texts = [p.decode() for p in normal]
+        alone = "\n" if not any("\n" in t for t in texts) else ""
+        odd = {a for t in texts for a, b in zip(t, t[1:], strict=False) if b in _MARKS and _LETTER.fullmatch(a)}
+        odd = odd if len(odd) < 64 else set()
+        marks = "".join(m for m in _MARKS if not any(_LETTER.fullmatch(a) and a not in odd and b == m for t in texts for a, b in zip(t, t[1:], strict=False)))
+        before_mark = rf" *[^\W\d_{re.escape(''.join(sorted(odd)))}]+(?=[{re.escape(marks)}])|" if marks else ""
+        self.words = re.compile(f"{MARKER}|" + (f"{alone}|" if alone else "") + before_mark + f" *[^ {MARKER}{alone}]+| +").findall
+        self.before: dict[str, tuple[bytes, int, float]] = {}
         self.known: dict[str, tuple[bytes, int, float]] = {}
 
     def viterbi(self, word: str) -> tuple[list[int], float]:
@@ -194,15 +204,16 @@ class Encoder:
         """For each word of text: its ids as little-endian int32, how many of them are bytes, their score."""
         if not text:
             return []
-        known = self.known
+        known, kinds = self.known, self.pieces.kinds
         found = []
         for word in self.words(f" {text}"):
             if (got := known.get(word)) is None:
-                ids, score = self.viterbi(word)
+                if (got := self.before.get(word)) is None:
+                    ids, score = self.viterbi(word)
+                    got = (array("i", ids).tobytes(), sum([kinds[i] == BYTE for i in ids]), score)
                 if len(known) >= KEPT_WORDS:
-                    known.clear()
-                kinds = self.pieces.kinds
-                got = (np.array(ids, dtype="<i4").tobytes(), sum(kinds[i] == BYTE for i in ids), score)
+                    self.before = known
+                    known = self.known = {}
                 if len(word) <= 64:
                     known[word] = got
             found.append(got)
