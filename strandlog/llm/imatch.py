@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 #: a document divided by the least share.
 LOW, HIGH = 0.001, 0.02
 #: Subsets hold one in so many of the lexicon's terms; so many subsets of each rate.
-RATES, EACH = (8, 32, 128, 512), 8
+RATES, EACH = (8, 32, 128, 512), 12
+#: So many subsets of a rate must have a term for that rate to tell the likeness.
+LEAST_FILLED = 6
+SEED = 17
 WIDTH = 8
 EMPTY = "0" * WIDTH
 #: Rows that are meant to stand together when the next document is looked up.
-NEIGHBOURS = 4096
+NEIGHBOURS = 512
 
 _GAPS = ".,;:!?\"'()[]{}<>|/\\*_=+#&%$@~^`\n\t\r\x0b\x0c"
 
@@ -45,22 +48,38 @@ def fingerprint(words: str, hashes: list[int]) -> Column:
     if not hashes:
         return F.concat(F.lit("x"), F.md5(F.array_join(F.array_sort(every), " ").cast("binary")))
     kept = F.array_sort(F.expr(f"filter({words}, t -> xxhash64(t) IN ({','.join(map(str, hashes))}))"))
-    subsets = F.array(*[F.struct(F.lit(rate * EACH + k).alias("seed"), F.lit(rate).alias("rate")) for rate in (1, *RATES) for k in range(EACH if rate > 1 else 1)])
-    chosen = lambda words, s: F.filter(words, lambda t: F.pmod(F.xxhash64(t, s["seed"]), s["rate"].cast("long")) == 0)
-    hashed = lambda words: F.when(F.size(words) == 0, EMPTY).otherwise(F.substring(F.md5(F.array_join(words, " ").cast("binary")), 1, WIDTH))
-    whole = lambda words: F.when(F.size(words) == 0, F.lit(None)).otherwise(F.array_join(F.transform(subsets, lambda s: hashed(chosen(words, s))), ""))
-    found = F.transform(F.array(kept), whole)[0]  # the kept terms are found once
+    # a term is in a subset if some bits of its hash are zero: the first subset needs none, a rate of 2^n needs n
+    subsets = F.array(*[F.struct(F.lit(5 * k).alias("at"), F.lit(rate - 1).cast("long").alias("mask")) for rate in (1, *RATES) for k in range(EACH if rate > 1 else 1)])
+    marked = lambda words: F.transform(words, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(SEED)).alias("h")))
+    inside = lambda s: lambda z: F.call_function("shiftrightunsigned", z["h"], s["at"]).bitwiseAND(s["mask"]) == 0
+    hashed = lambda chosen: F.when(F.size(chosen) == 0, EMPTY).otherwise(F.substring(F.md5(F.array_join(chosen["t"], " ").cast("binary")), 1, WIDTH))
+    one = lambda words: lambda s: F.transform(F.array(F.filter(words, inside(s))), hashed)[0]
+    whole = lambda words: F.when(F.size(words) == 0, F.lit(None)).otherwise(F.array_join(F.transform(subsets, one(words)), ""))
+    found = F.transform(F.array(marked(kept)), whole)[0]  # the kept terms are found and hashed once
     return F.coalesce(found, F.concat(F.lit("x"), F.md5(F.array_join(F.array_sort(every), " ").cast("binary"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes where either is not empty; for fingerprints without lexicon terms 1 if equal, else 0."""
+    """Share of equal hashes among the subsets of one rate in which either text has a term: of the thinnest rate with
+    LEAST_FILLED such subsets, where a subset has few terms; without one, of all. For fingerprints without lexicon
+    terms 1 if they are equal, else 0."""
     n = 1 + len(RATES) * EACH
     at = F.sequence(F.lit(0), F.lit(n - 1))
     pieces = lambda c: F.transform(at, lambda k: F.substring(c, k * WIDTH + 1, F.lit(WIDTH)))
-    pairs = F.filter(F.arrays_zip(pieces(a).alias("p"), pieces(b).alias("q")), lambda z: (z["p"] != EMPTY) | (z["q"] != EMPTY))
-    same = F.size(F.filter(pairs, lambda z: z["p"] == z["q"]))
-    return F.when(a == b, 1.0).when(a.startswith("x") | b.startswith("x"), 0.0).otherwise(same / F.size(pairs)).cast("double")
+    filled = lambda z: (z["p"] != EMPTY) | (z["q"] != EMPTY)
+    same = lambda z: filled(z) & (z["p"] == z["q"])
+
+    def share(zipped: Column) -> Column:
+        found = F.size(F.filter(zipped, filled))
+        for level in range(len(RATES)):  # the last one tested is the thinnest
+            part = F.slice(zipped, 2 + level * EACH, EACH)
+            some = F.size(F.filter(part, filled))
+            value = F.size(F.filter(part, same)) / some
+            best = F.when(some >= LEAST_FILLED, value).otherwise(best if level else F.size(F.filter(zipped, same)) / found)
+        return best
+
+    both = F.transform(F.array(F.arrays_zip(pieces(a).alias("p"), pieces(b).alias("q"))), share)[0]
+    return F.when(a == b, 1.0).when(a.startswith("x") | b.startswith("x"), 0.0).otherwise(both).cast("double")
 
 
 def with_next(rows: DataFrame, order: str, value: Column) -> DataFrame:
