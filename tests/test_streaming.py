@@ -6,8 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from strandlog.functions.errors import FailedKeyError, TransientError, UsageError
-from strandlog.functions.registry import NewEvent
-from strandlog.operators.live import LiveModel, ModelDefinition, ModelVersions, PersistedModel, compare_listed
+from strandlog.functions.registry import NewEvent, build_schema
+from strandlog.operators.live import CrossTenantModel, LiveModel, ModelDefinition, ModelVersions, PersistedModel, compare_listed
 from strandlog.sources.store import FileStore
 from strandlog.streaming.subscribe import FileCursors, MemoryCursors, Subscription, Watches, follow
 
@@ -160,3 +160,39 @@ def test_definitions_are_checked():
     with pytest.raises(UsageError):
         ModelDefinition("m", 0, {}, "key", total)
     assert threading.active_count() < 50
+
+
+def test_cross_tenant_model(tmp_path):
+    store = FileStore(str(tmp_path), build_schema([], ["key"], "tenantId", strict=False))
+    for k in range(12):
+        store.append([NewEvent("Job", {"n": k}, {"key": f"k{k % 2}"} | ({"tenantId": f"t{k % 3}"} if k < 9 else {}))])
+    m = CrossTenantModel(store, MODEL)
+    m.catch_up()
+    assert m.get_for("t0", "k0") == {"n": 2, "sum": 6} and m.list_for("t1").total == 2 and m.checkpoints == {"t0": (7, 7), "t1": (8, 8), "t2": (9, 9)}
+
+
+def test_erasure(store):
+    fill(store, 6)
+    other = FileStore(store.directory)
+    assert len(other.query({}).events) == 6
+    assert store.erase({"scopes": {"key": "k0"}}) == 2
+    assert [e.sequence for e in store.query({}).events] == [2, 3, 4, 6] == [e.sequence for e in FileStore(store.directory).query({}).events]
+    assert store.append([NewEvent("Job", {"n": 9})]).first == 7 and other.query({}).context_version == 7
+
+
+def test_structured_streaming(spark, store, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandlog.streaming.source import StreamedStates, read_stream
+
+    states = StreamedStates(str(tmp_path / "states"), ["key"], {"n": F.lit(1), "sum": F.get_json_object("payload", "$.n").cast("long")}, {"last": F.get_json_object("payload", "$.n")})
+
+    def run():
+        rows = read_stream(spark, store.directory).withColumn("key", F.get_json_object("payload", "$.scopes.key"))
+        states.start(rows, str(tmp_path / "checkpoint")).awaitTermination(60)
+        return {r["key"]: (r["n"], r["sum"], r["last"]) for r in states.read(spark).collect()}
+
+    fill(store, 8)
+    assert run() == {"k0": (2, 4, "4"), "k1": (2, 6, "5"), "k2": (2, 8, "6"), "k3": (2, 10, "7")}
+    fill(store, 2, 8)
+    assert run() == {"k0": (3, 12, "8"), "k1": (3, 15, "9"), "k2": (2, 8, "6"), "k3": (2, 10, "7")}
