@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions.errors import UsageError
 from strandlog.functions.filters import contains, kind
+from strandlog.operators.windows import numbered
 
 #: Kinds of list values in their order; anything else counts as missing.
 RANKS = ("number", "string", "boolean", "date")
@@ -70,6 +71,11 @@ def listed(states: DataFrame, key: str, order: list[Column], offset: int = 0, li
     return page.withColumn("place", place.cast("long")).where(F.col("place") > offset)
 
 
+def placed(states: DataFrame, order: list[Column]) -> DataFrame:
+    """Every row with its place in the whole list, from 1, without sorting all rows in one task. The order must be total."""
+    return numbered(states, order, "place")
+
+
 def changes_since(states: DataFrame, revision: int, key_after: str, limit: int, key: str = "key") -> DataFrame:
     """Rows changed after (revision, key), in that order."""
     beyond = (F.col("revision") > revision) | ((F.col("revision") == revision) & (F.col(key) > key_after))

@@ -253,12 +253,12 @@ over_events("read_model_counts", f"SELECT count(*) FILTER (n > 40 AND NOT bad) A
 _MIXED = """CASE sequence % 6 WHEN 0 THEN cents::VARCHAR WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN CASE WHEN cents % 2 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN '{"$date":' || sequence * 1000 || '}' WHEN 4 THEN 'null' ELSE '[1]' END"""
 _MIXED_ORDER = "r IS NULL, r {0}, num {0}, str {0}, flag {0}, day {0}, event_id"
 _MIXED_SQL = f"""SELECT event_id, place FROM (SELECT event_id, row_number() OVER (ORDER BY {{}}) AS place FROM (SELECT event_id, CASE sequence % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS r,
-  CASE WHEN sequence % 6 = 0 THEN cents END AS num, CASE WHEN sequence % 6 = 1 THEN event_type END AS str, CASE WHEN sequence % 6 = 2 THEN cents % 2 = 0 END AS flag, CASE WHEN sequence % 6 = 3 THEN sequence END AS day FROM log WHERE sequence <= 300)) WHERE place <= 280"""
+  CASE WHEN sequence % 6 = 0 THEN cents END AS num, CASE WHEN sequence % 6 = 1 THEN event_type END AS str, CASE WHEN sequence % 6 = 2 THEN cents % 2 = 0 END AS flag, CASE WHEN sequence % 6 = 3 THEN sequence END AS day FROM log))"""
 
 
 def mixed_list(log: Log, descending: bool) -> DataFrame:
-    rows = log.df.where("sequence <= 300").select("event_id", F.parse_json(F.expr(_MIXED.replace("::VARCHAR", "").replace("THEN cents WHEN", "THEN cast(cents AS string) WHEN"))).alias("doc"))
-    return models.listed(rows, "event_id", models.mixed_order(F.col("doc"), F.col("event_id"), descending), limit=280).select("event_id", F.col("place").cast("long").alias("place"))
+    rows = log.df.select("event_id", F.parse_json(F.expr(_MIXED.replace("::VARCHAR", "").replace("THEN cents WHEN", "THEN cast(cents AS string) WHEN"))).alias("doc"))
+    return models.placed(rows, models.mixed_order(F.col("doc"), F.col("event_id"), descending)).select("event_id", "place")
 
 
 over_events("list_mixed_rank", _MIXED_SQL.format(_MIXED_ORDER.format("ASC")))(lambda log: mixed_list(log, False))
