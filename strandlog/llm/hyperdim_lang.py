@@ -22,6 +22,8 @@ ORDER = 3
 SEED = 7
 #: Prototypes are fitted on about so many documents at most, drawn by a hash of their text.
 TRAIN_DOCS = 20_000
+#: Prototypes of so many languages at most, those with the most documents.
+MOST_LANGUAGES = 1000
 #: Vectors of n-grams that a worker keeps.
 KEPT_NGRAMS = 32_768
 UNDETERMINED = "und"
@@ -101,7 +103,11 @@ def learn(docs: DataFrame, text: Column, lang: Column, use: Column, train_docs:
     for each language and dimension.
     """
     rows = docs.select(text.cast("string").alias("text"), lang.cast("string").alias("lang"), use.alias("use")).where("use AND lang IS NOT NULL AND text IS NOT NULL").drop("use")
-    n = docs.where(use & lang.isNotNull()).count()
+    counted = docs.where(use & lang.isNotNull()).groupBy(lang.cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    common = [r["lang"] for r in counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    if len(common) == MOST_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(common))
     if n > train_docs:
         rows = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < F.lit(int((1 << 20) * train_docs / n)))
 
