@@ -162,3 +162,30 @@ def test_specs():
     given(make_event("MoneyDeposited", {"amount": 7})).when(command).then(("MoneyDeposited", {"amount": 7}))
     given(make_event("MoneyDeposited", {"amount": 2})).when(command).then_rejects("poor")
     assert BANK.fold_by(lambda e: e.scopes.get("k"), {"NoteAdded": lambda s, e: None if e.data.get("end") else (s or 0) + 1})([make_event("NoteAdded", {}, {"k": "a"}), make_event("NoteAdded", {"end": 1}, {"k": "a"}), make_event("NoteAdded", {}, {"k": "b"}), make_event("NoteAdded")], {}) == {"b": 1}
+
+
+def test_bounded_reads_agree_with_whole_ones(store):
+    a, b = opened(store, "ann"), opened(store, "bob")
+    for k in range(20):
+        store.append([deposit(a if k % 3 else b, k + 1)])
+    for q in (BANK.scope("AccountOpened", a), {"types": ["AccountOpened"]}):
+        whole = store.query(q)
+        for n in (0, 1, 5, 21, 22):
+            part, capped = store.query(q, after=n), store.query(q, after=n, until=12)
+            assert [e.sequence for e in part.events] == [e.sequence for e in whole.events if e.sequence > n] and part.context_version == whole.context_version
+            assert capped.context_version == max(e.sequence for e in whole.events if e.sequence <= 12)
+            beyond = store.query(q, cursor=(n, n))
+            assert [e.sequence for e in beyond.events] == [e.sequence for e in whole.events if e.sequence > n] and beyond.context_version == whole.context_version
+
+
+def test_keys_declared_later(tmp_path, spark):
+    store = FileStore(str(tmp_path), build_schema([], ["a"], strict=False))
+    store.append([NewEvent("T", {}, {"a": "1", "b": "2"})])
+    more = FileStore(str(tmp_path), build_schema([], ["a", "b"], strict=False))
+    more.append([NewEvent("T", {}, {"b": "2"})])
+    log = more.snapshot(spark)
+    assert log.scope_keys == ("a",)
+    assert read(log, {"scopes": {"b": "2"}}).rows.count() == 2 == len(more.query({"scopes": {"b": "2"}}).events)
+    (tmp_path / "properties.json").write_text('{"rule": 0, "scope_keys": []}')
+    with pytest.raises(UsageError):
+        FileStore(str(tmp_path))
