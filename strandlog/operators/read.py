@@ -24,6 +24,7 @@ class Read:
     rows: DataFrame
     filters: list[dict]
     matched: DataFrame = field(repr=False)
+    visible: Column = field(repr=False)
     log: Log = field(repr=False)
     options: dict[str, Any] = field(repr=False)
 
@@ -34,14 +35,17 @@ class Read:
 
     def summary(self) -> DataFrame:
         """context_version, last_returned, cursor_transaction, cursor_sequence, watermark, n_rows."""
-        returned = self.rows.agg(
-            F.coalesce(F.max("sequence"), F.lit(0)).alias("last_returned"), F.count("*").alias("n_rows"),
-            F.max(F.when(self.log.settled, F.struct("transaction_id", "sequence"))).alias("c"),
-        )
         version = F.lit(-1).cast("long") if self.options.get("version") is False else F.coalesce(F.max("sequence"), F.lit(0)).cast("long")
-        context = self.matched.agg(version.alias("context_version"))
-        # both sides are one row
-        return context.crossJoin(returned).select("context_version", "last_returned", F.col("c.transaction_id").alias("cursor_transaction"), F.col("c.sequence").alias("cursor_sequence"), F.lit(self.log.watermark).cast("long").alias("watermark"), "n_rows")
+        numbers = lambda seen: [
+            F.coalesce(F.max(F.when(seen, F.col("sequence"))), F.lit(0)).alias("last_returned"), F.count_if(seen).alias("n_rows"),
+            F.max(F.when(seen & self.log.settled, F.struct("transaction_id", "sequence"))).alias("c"),
+        ]
+        if self.options.get("limit") is None:
+            found = self.matched.agg(version.alias("context_version"), *numbers(self.visible))  # one scan for all numbers
+        else:
+            # both sides are one row
+            found = self.matched.agg(version.alias("context_version")).crossJoin(self.rows.agg(*numbers(F.lit(True))))
+        return found.select("context_version", "last_returned", F.col("c.transaction_id").alias("cursor_transaction"), F.col("c.sequence").alias("cursor_sequence"), F.lit(self.log.watermark).cast("long").alias("watermark"), "n_rows")
 
 
 def matching(log: Log, query: Query, until: int | None = None) -> tuple[DataFrame, list[dict]]:
@@ -56,7 +60,7 @@ def matching(log: Log, query: Query, until: int | None = None) -> tuple[DataFram
     some = tests[0]
     for t in tests[1:]:
         some = some | t
-    return df.where(some).select(*columns, F.array(*tests).alias("hits")), filters
+    return df.where(some).select(*columns, F.array(*[F.coalesce(t, F.lit(False)) for t in tests]).alias("hits")), filters
 
 
 def needs_payload(f: dict, log: Log) -> bool:
@@ -68,21 +72,22 @@ def read(log: Log, query: Query, **options: Any) -> Read:
     """A page of a query. See checked_options for the options; cursor=None counts as given, without a bound."""
     checked_options(**options)
     matched, filters = matching(log, query, options.get("until"))
-    rows = matched
+    visible = F.lit(True)
     if options.get("after") is not None:
-        rows = rows.where(F.col("sequence") > options["after"])
+        visible = visible & (F.col("sequence") > options["after"])
     if options.get("settled_only"):
-        rows = rows.where(log.settled)
+        visible = visible & log.settled
     if options.get("cursor") is not None:
         txn, seq = options["cursor"]
         beyond = (F.col("transaction_id") > txn) | ((F.col("transaction_id") == txn) & (F.col("sequence") > seq))
-        rows = rows.where(beyond if log.watermark is None else beyond | (F.col("transaction_id") >= log.watermark))
+        visible = visible & (beyond if log.watermark is None else beyond | (F.col("transaction_id") >= log.watermark))
+    rows = matched.where(visible)
     rows = projected(rows, log, options)
     keys = ["transaction_id", "sequence"] if "cursor" in options or options.get("settled_only") else ["sequence"]
     rows = rows.orderBy(*[F.col(k).desc() if options.get("order") == "desc" else F.col(k).asc() for k in keys])
     if options.get("limit") is not None:
         rows = rows.limit(options["limit"])
-    return Read(rows, filters, matched, log, options)
+    return Read(rows, filters, matched, visible, log, options)
 
 
 def projected(rows: DataFrame, log: Log, options: dict[str, Any]) -> DataFrame:
