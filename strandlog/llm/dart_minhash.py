@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8^5)^26, about 3e-5.
 ROWS, BANDS = 5, 26
 #: Rows of one leader that are held against each other in one task.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             exact = ["" if not t.is_valid else t.as_py() for t in batch.column(1)]
             raw = [folded(t) for t in exact]
             for a, b in in_chunks(raw):
@@ -136,9 +136,11 @@ def links_between(x: list[tuple], y: list[tuple], similarity: float) -> list[tup
     sizes = [np.array([len(r[3]) for r in z]) for z in (x, y)]
     weights = [np.array([r[1] for r in z]) for z in (x, y)]
     classes = [np.array([r[2] for r in z]) for z in (x, y)]
-    apart = sizes[0][:, None] + sizes[1][None, :] - 2 * shared
-    near = (apart <= t * (weights[0][:, None] + weights[1][None, :]) + 1e-9) & (classes[0][:, None] != classes[1][None, :])
-    found = {(k, int(classes[1][m])): m for k, m in zip(*(z.tolist() for z in np.nonzero(near)), strict=True)}
+    found = {}
+    for k in range(len(x)):
+        apart = sizes[0][k] + sizes[1] - 2 * shared[k]
+        near = (apart <= t * (weights[0][k] + weights[1]) + 1e-9) & (classes[0][k] != classes[1])
+        found.update({(k, int(classes[1][m])): m for m in np.flatnonzero(near).tolist()})
     return [(x[k][0], y[m][0]) for (k, _), m in found.items()]
 
 
