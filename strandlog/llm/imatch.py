@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Least and largest share of documents of a lexicon term. The lexicon has at most the mean number of distinct terms of
 #: a document divided by the least share.
-LOW, HIGH = 0.001, 0.02
+LOW, HIGH = 0.002, 0.02
 #: Subsets hold one in so many of the lexicon's terms; so many subsets of each rate.
 RATES, EACH = (8, 32, 128, 512), 12
 #: So many subsets of a rate must have a term for that rate to tell the likeness.
