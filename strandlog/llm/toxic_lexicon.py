@@ -26,6 +26,11 @@ TRAIN_DOCS = 20_000
 MOST_ENTRIES, MOST_EXCEPTIONS = 4000, 500
 #: An entry needs so many toxic documents, and so much more of them in share (log odds).
 LEAST_SUPPORT, LEAST_LOG_ODDS = 3, 2.0
+#: Entries that weigh less than this share of the heaviest one are left out: words of single toxic documents and their
+#: copies reach some weight too.
+LEAST_SHARE = 0.6
+#: And so large a likelihood ratio (G squared) against chance: of a million words, some are in toxic documents only by luck.
+LEAST_RATIO = 22.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 PREFIX_MARK = "*"
@@ -126,6 +131,13 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+def likelihood_ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """G squared of an entry's documents falling into the classes as they do, against the classes' shares."""
+    share = n_toxic / max(1, n_toxic + n_clean)
+    n = toxic + clean
+    return 2 * sum(k * math.log(k / (n * q)) for k, q in ((toxic, share), (clean, 1 - share)) if k and q)
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -174,8 +186,10 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, train_docs: int = TRA
     weights = {}
     for e, k in toxic.items():
         odds = math.log((k + 0.1) / (sizes.get(1, 0) + 0.2)) - math.log((clean.get(e, 0) + 0.5) / (sizes.get(0, 0) + 1))
-        if odds >= LEAST_LOG_ODDS:
+        if odds >= LEAST_LOG_ODDS and likelihood_ratio(k, clean.get(e, 0), sizes.get(1, 0), sizes.get(0, 0)) >= LEAST_RATIO:
             weights[e] = round(odds, 4)
+    heaviest = max(weights.values(), default=0.0)
+    weights = {e: w for e, w in weights.items() if w >= LEAST_SHARE * heaviest}
     chosen = sorted(weights, key=lambda e: (-weights[e] * toxic[e], e))[:MOST_ENTRIES]
     lexicon = Lexicon({e: weights[e] for e in chosen})
     lexicon.exceptions = exceptions(rows, lexicon)
