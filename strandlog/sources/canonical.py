@@ -46,10 +46,12 @@ class Log:
 
 def extracted(df: DataFrame, scope_keys: tuple[str, ...]) -> DataFrame:
     """A log's physical columns from sequence, transaction_id, event_type, payload, recorded_at: what a writer adds."""
-    parsed = df.withColumn("_v", F.parse_json("payload"))  # a column of its own, so that it is parsed once for all keys
-    v = F.col("_v")
+    # inside the lambda the payload is parsed once for all keys, also where a filter repeats the expression
+    found = F.transform(F.array(F.parse_json("payload")), lambda v: F.struct(*[scope_value(v, k).alias(k) for k in scope_keys]))[0]
     own = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$."), default_id_key_column(F.col("event_type"))))
-    return parsed.select(*df.columns, own.alias("event_id"), *[scope_value(v, k).alias(f"scope_{k}") for k in scope_keys])
+    if not scope_keys:
+        return df.select("*", own.alias("event_id"))
+    return df.withColumn("_s", found).select(*df.columns, own.alias("event_id"), *[F.col("_s").getField(k).alias(f"scope_{k}") for k in scope_keys])
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> Log:
