@@ -1,4 +1,4 @@
-"""Quality rules by compression: zstandard ratios of whole documents and of fixed chunks.
+"""Quality rules by compression: zstandard ratios of whole documents and of fixed chunks that cover them.
 
 A text that repeats itself compresses far better than prose of its length, and noise hardly at all. Because a ratio
 falls with length even for clean prose, each length has limits of its own.
@@ -18,9 +18,11 @@ from strandlog.llm.common import arrow_schema
 
 #: (least bytes, lowest ratio, highest ratio) of whole texts. Below 64 bytes a ratio says nothing.
 WHOLE_BANDS = [(0, 0.0, 9.0), (64, 0.30, 1.40), (128, 0.35, 1.10), (256, 0.40, 0.95), (512, 0.38, 0.85), (1024, 0.36, 0.76), (4096, 0.33, 0.72), (16384, 0.30, 0.70), (65536, 0.25, 0.70)]
-#: The same of one chunk; only full chunks are judged, so one line holds.
+#: The same of one chunk. All chunks of a text have one length (the last ends where the text ends), so one line holds.
 CHUNK_BAND = (0.30, 0.76)
 CHUNK_BYTES = 2048
+#: (bytes, lowest ratio, highest ratio) of the chunks of texts that are no longer than one chunk of the size before.
+SMALL_CHUNKS = [(512, 0.38, 0.85), (128, 0.35, 1.03)]
 #: A document fails when more than this share of its chunks lies outside CHUNK_BAND.
 BAD_CHUNK_SHARE = 0.25
 LEVEL = 3
@@ -75,19 +77,25 @@ def band_of(n_bytes: int, bands: list[tuple[int, float, float]]) -> tuple[float,
     return next((low, high) for least, low, high in reversed(bands) if n_bytes >= least)
 
 
+def chunks_of(n_bytes: int, size: int) -> list[int]:
+    """Where chunks of a text begin: at every multiple of size; the last one is moved back to end with the text."""
+    return [*range(0, n_bytes - size + 1, size), *([n_bytes - size] if n_bytes % size else [])]
+
+
 def judged(raw: bytes, zip_: zstandard.ZstdCompressor, bands: list, chunk_band: tuple, chunk_bytes: int, bad_share: float) -> tuple[bool, float, int, int]:
-    """Whether the ratios lie in their bands, the whole ratio (1 for an empty text), chunks, chunks out of band."""
+    """Whether the ratios lie in their bands, the whole ratio (1 for an empty text), chunks, chunks out of band.
+
+    Every byte lies in a chunk. A text that is no longer than the smallest chunk is one chunk with the limits of a whole.
+    """
     if not raw:
         return True, 1.0, 0, 0
     ratio = len(zip_.compress(raw)) / len(raw)
     low, high = band_of(len(raw), bands)
-    chunks = bad = 0
-    if len(raw) > chunk_bytes:
-        for at in range(0, len(raw) - chunk_bytes + 1, chunk_bytes):
-            r = len(zip_.compress(raw[at : at + chunk_bytes])) / chunk_bytes
-            chunks += 1
-            bad += not chunk_band[0] <= r <= chunk_band[1]
-    return low <= ratio <= high and bad <= bad_share * chunks, ratio, chunks, bad
+    sizes = [(chunk_bytes, *chunk_band), *(x for x in SMALL_CHUNKS if x[0] < chunk_bytes)]
+    size, least, most = next((x for x in sizes if len(raw) > x[0]), (len(raw), low, high))
+    starts = chunks_of(len(raw), size)
+    bad = sum(not least <= len(zip_.compress(raw[at : at + size])) / size <= most for at in starts)
+    return low <= ratio <= high and bad <= bad_share * len(starts), ratio, len(starts), bad
 
 
 def compression_bands(

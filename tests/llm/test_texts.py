@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlog.llm import hyperdim_lang, license_scan, raking, toxic_lexicon
-from strandlog.llm.compression_bands import base_counts, compression_bands
+from strandlog.llm.compression_bands import base_counts, chunks_of, compression_bands
 from strandlog.llm.quote_links import conversations_without_quotes, quote_links
 from strandlog.llm.unigram_pieces import BYTE, MARKER, NORMAL, DoubleArray, Encoder, Pieces
 
@@ -39,6 +39,23 @@ def test_bands(spark):
     assert {r["doc_id"]: r["kept"] for r in compression_bands(docs).collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
+def test_bands_judge_every_byte(spark):
+    for n in range(1, 60):
+        for size in range(1, n + 1):
+            assert {k for at in chunks_of(n, size) for k in range(at, at + size)} == set(range(n))
+    draw = random.Random(14)
+    syllables = ["".join(draw.choices("abcdefghijklmnoprstuvw", k=2)) for _ in range(40)]
+    prose = lambda n: " ".join("".join(draw.choices(syllables, k=draw.randrange(1, 5))) for _ in range(n))[:n]
+    noise = lambda n: "".join(chr(draw.randrange(33, 127)) for _ in range(n))
+    rows, good = [], set()
+    for k, (n, m) in enumerate([(2048, 1900), (1200, 840), (650, 400), (8192, 4000)]):
+        rows += [(10 * k, prose(n) + noise(m)), (10 * k + 1, noise(m) + prose(n)), (10 * k + 2, prose(n + m))]
+        good.add(10 * k + 2)
+    found = compression_bands(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found if r["kept"]} == good
+    assert all(r["n_chunks"] for r in found)
+
+
 TINY = Pieces([*(f"<0x{b:02X}>" for b in range(256)), MARKER, "a", "b", "ab", f"{MARKER}a", f"{MARKER}ab", "ba", "é", f"{MARKER}{MARKER}"], [0.0] * 256 + [-2.0, -3.0, -3.5, -4.0, -4.2, -5.0, -5.5, -6.0, -2.5], [BYTE] * 256 + [NORMAL] * 9)
 
 
