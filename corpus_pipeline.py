@@ -10,8 +10,10 @@ from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.suffix_dedup import cut_repeats
 from strandlog.llm.unigram_pieces import encode_documents
 
-#: A document goes if its language cannot be told, or if no language is as near as this.
-LEAST_NEAR = 0.02
+#: A document goes if its language cannot be told, or if no language is as near as this. Texts that share no n-gram with a
+#: prototype have cosines of standard deviation 1 / sqrt(DIMENSIONS) about 0; 4.5 of them are passed by chance in one of
+#: 300,000 cases a language.
+LEAST_NEAR = 4.5 / hyperdim_lang.DIMENSIONS**0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_stages(spark, tmp_path):
         assert made.decode(r["ids"]) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()
     assert {r["doc_id"] for r in whole} == set(texts)
+
+
+def test_unlearned_scripts_go(spark, tmp_path):
+    draw = random.Random(15)
+    syllables = {"en": ["th", "er", "on", "an", "re"], "de": ["sch", "ü", "ent", "ich", "ung"]}
+    word = lambda parts, n: "".join(draw.choices(parts, k=n))
+    real = [(k, " ".join(word(syllables[lang], draw.randrange(1, 4)) for _ in range(draw.randrange(10, 80))), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    scripts = [(0x430, 0x450), (0x3B1, 0x3C9), (0xE01, 0xE2E), (0x4E00, 0x9FFF)]
+    junk = [(1000 + k, " ".join(word([chr(c) for c in range(*scripts[k % 4])], draw.randrange(2, 10)) for _ in range(60)), None) for k in range(80)]
+    docs = spark.createDataFrame(real + junk, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()} == {r[0] for r in real}
