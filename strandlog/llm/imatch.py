@@ -4,17 +4,19 @@ The lexicon holds the terms whose share of documents lies in a band: terms that
 inverse document frequency). A text keeps its distinct terms of the lexicon, sorted. Each of several random subsets of
 the lexicon, thinned at several rates, gives one hash of the kept terms that it holds; the fingerprint is the row of
 these hashes, the first over the whole lexicon. Two fingerprints are alike by the share of equal hashes among those
-where either text has a term.
+where either text has a term. A text without a lexicon term is compared by subsets of all terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least and largest share of documents of a lexicon term. The lexicon has at most the mean number of distinct terms of
-#: a document divided by the least share.
-LOW, HIGH = 0.002, 0.02
+#: Least and largest share of documents of a lexicon term. The lexicon has at most the mean number of distinct terms
+#: of a document divided by the least share.
+LOW, HIGH = 0.001, 0.02
 #: Subsets hold one in so many of the lexicon's terms; so many subsets of each rate.
 RATES, EACH = (8, 32, 128, 512), 12
 #: So many subsets of a rate must have a term for that rate to tell the likeness.
@@ -22,6 +24,8 @@ LEAST_FILLED = 6
 SEED = 17
 WIDTH = 8
 EMPTY = "0" * WIDTH
+#: Hashes of the lexicon lie in so many lists, by their last bits.
+BUCKETS = 1 << 16
 #: Rows that are meant to stand together when the next document is looked up.
 NEIGHBOURS = 512
 
@@ -33,41 +37,60 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.translate(F.lower(text), _GAPS, " " * len(_GAPS)), " ")), "")
 
 
+def term_hashes(text: Column) -> Column:
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
 def lexicon(docs: DataFrame, text: Column, low: float = LOW, high: float = HIGH) -> list[int]:
     """Hashes of the terms whose share of the rows lies in the band and that two rows have at least."""
     n = docs.count()
-    hashes = docs.select(F.explode(F.transform(terms(text), lambda t: F.xxhash64(t))).alias("h"))
-    counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
+    distinct = docs.select(term_hashes(text).alias("h"))
+    counts = distinct.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     return sorted(r["h"] for r in counts.where((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n))).collect())
 
 
-def fingerprint(words: str, hashes: list[int]) -> Column:
-    """Of the named column of terms: 1 + len(RATES) * EACH hashes side by side, zeros where no term fell in. A text without a term of the lexicon gets
-    an x and the hash of all its terms instead."""
-    every = F.col(words)
-    if not hashes:
-        return F.concat(F.lit("x"), F.md5(F.array_join(F.array_sort(every), " ").cast("binary")))
-    kept = F.array_sort(F.expr(f"filter({words}, t -> xxhash64(t) IN ({','.join(map(str, hashes))}))"))
+def graded(hashes: Column) -> Column:
+    """1 + len(RATES) * EACH hashes side by side of the sorted hashes of terms, zeros where no term fell in."""
     # a term is in a subset if some bits of its hash are zero: the first subset needs none, a rate of 2^n needs n
     subsets = F.array(*[F.struct(F.lit(5 * k).alias("at"), F.lit(rate - 1).cast("long").alias("mask")) for rate in (1, *RATES) for k in range(EACH if rate > 1 else 1)])
-    marked = lambda words: F.transform(words, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(SEED)).alias("h")))
+    marked = F.transform(hashes, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(SEED)).alias("h")))
     inside = lambda s: lambda z: F.call_function("shiftrightunsigned", z["h"], s["at"]).bitwiseAND(s["mask"]) == 0
-    hashed = lambda chosen: F.when(F.size(chosen) == 0, EMPTY).otherwise(F.substring(F.md5(F.array_join(chosen["t"], " ").cast("binary")), 1, WIDTH))
+    hashed = lambda chosen: F.when(F.size(chosen) == 0, EMPTY).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(chosen["t"])), 16, "0"), 1, WIDTH))
     one = lambda words: lambda s: F.transform(F.array(F.filter(words, inside(s))), hashed)[0]
-    whole = lambda words: F.when(F.size(words) == 0, F.lit(None)).otherwise(F.array_join(F.transform(subsets, one(words)), ""))
-    found = F.transform(F.array(marked(kept)), whole)[0]  # the kept terms are found and hashed once
-    return F.coalesce(found, F.concat(F.lit("x"), F.md5(F.array_join(F.array_sort(every), " ").cast("binary"))))
+    return F.transform(F.array(marked), lambda words: F.array_join(F.transform(subsets, one(words)), ""))[0]  # the terms are hashed once
+
+
+def fingerprinted(docs: DataFrame, text: str, name: str, lexicon_terms: Column) -> DataFrame:
+    """docs with name, the fingerprint of the named text. A text without a term of the lexicon gets an x and the same hashes over all its terms.
+
+    lexicon_terms is a scalar subquery of bucketed(), so neither the plan nor its text holds the hashes.
+    """
+    every = docs.withColumn("_every", term_hashes(F.col(text))).withColumn("_buckets", lexicon_terms)
+    known = lambda buckets: lambda h: F.array_contains(F.get(buckets, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), h)
+    kept = lambda buckets: F.array_sort(F.filter("_every", known(buckets)))
+    bare = lambda k: F.size(k) == 0
+    made = lambda k: F.concat(F.when(bare(k), "x").otherwise(""), graded(F.when(bare(k), F.array_sort("_every")).otherwise(k)))
+    # the buckets are used in one place only, so Spark puts the subquery there and no row holds them
+    return every.withColumn(name, F.transform(F.transform(F.array("_buckets"), kept), made)[0]).drop("_every", "_buckets")
+
+
+def bucketed(docs: DataFrame, hashes: list[int]) -> Column:
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for h in hashes:
+        buckets[h & (BUCKETS - 1)].append(h)
+    return docs.sparkSession.createDataFrame([(buckets,)], "terms array<array<bigint>>").scalar()
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
     """Share of equal hashes among the subsets of one rate in which either text has a term: of the thinnest rate with
-    LEAST_FILLED such subsets, where a subset has few terms; without one, of all. For fingerprints without lexicon
-    terms 1 if they are equal, else 0."""
+    LEAST_FILLED such subsets, where a subset has few terms; without one, of all. Where a text has no lexicon term, the
+    subsets are of all terms of both."""
     n = 1 + len(RATES) * EACH
     at = F.sequence(F.lit(0), F.lit(n - 1))
-    pieces = lambda c: F.transform(at, lambda k: F.substring(c, k * WIDTH + 1, F.lit(WIDTH)))
     filled = lambda z: (z["p"] != EMPTY) | (z["q"] != EMPTY)
     same = lambda z: filled(z) & (z["p"] == z["q"])
+    bare = lambda c: c.startswith("x")
+    whole = lambda c, text: F.when(bare(c), F.substring(c, 2, n * WIDTH)).otherwise(graded(F.array_sort(term_hashes(text))))
 
     def share(zipped: Column) -> Column:
         found = F.size(F.filter(zipped, filled))
@@ -78,12 +101,15 @@ def likeness(a: Column, b: Column) -> Column:
             best = F.when(some >= LEAST_FILLED, value).otherwise(best if level else F.size(F.filter(zipped, same)) / found)
         return best
 
-    both = F.transform(F.array(F.arrays_zip(pieces(a).alias("p"), pieces(b).alias("q"))), share)[0]
-    return F.when(a == b, 1.0).when(a.startswith("x") | b.startswith("x"), 0.0).otherwise(both).cast("double")
+    piece = lambda c, k: F.substring(c, k * WIDTH + 1, F.lit(WIDTH))
+    zipped = lambda z: F.transform(at, lambda k: F.struct(piece(z["a"], k).alias("p"), piece(z["b"], k).alias("q")))
+    alike = lambda p, q: F.transform(F.transform(F.array(F.struct(p.alias("a"), q.alias("b"))), zipped), share)[0]
+    return F.when(a == b, 1.0).when(bare(a) | bare(b), alike(whole(a, text_a), whole(b, text_b))).otherwise(alike(a, b)).cast("double")
 
 
-def with_next(rows: DataFrame, order: str, value: Column) -> DataFrame:
-    """rows and, as next, the value of the row that follows in ascending order (nulls first); after the last, the first.
+def with_next(rows: DataFrame, order: str, tie: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """order, and as here and next the columns value of made(rows) of a row and of the row that follows in ascending
+    order (nulls first), then by tie; after the last, the first. value is a struct that has tie.
 
     Rows are dealt by stretches of the order column (an integer), so neighbours meet in one task, and the first row of
     each stretch is handed to the stretch before it.
@@ -91,16 +117,18 @@ def with_next(rows: DataFrame, order: str, value: Column) -> DataFrame:
     span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
     low, n = span["low"] or 0, span["n"]
     width = max(1, -(-((span["high"] or 0) - low + 1) // max(1, n // NEIGHBOURS + 1)))
-    dealt = rows.withColumn("_value", value).withColumn("_part", F.coalesce(F.floor((F.col(order) - low) / width), F.lit(-1)).cast("long"))
-    w = Window.partitionBy("_part").orderBy(order, "_value")
-    dealt = dealt.withColumn("_next", F.lead("_value").over(w)).withColumn("_at", F.row_number().over(w))
-    heads = dealt.where("_at = 1").select("_part", F.col("_value").alias("_head"))
+    dealt = rows.withColumn("_part", F.coalesce(F.floor((F.col(order) - low) / width), F.lit(-1)).cast("long"))
+    here = made(dealt).select(order, "_part", F.col("value").alias("here"))
+    here = here.withColumn("_next", F.lead("here").over(Window.partitionBy("_part").orderBy(order, f"here.{tie}")))
+    # the heads are found before their values are made
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(order, tie))
+    heads = made(dealt.withColumn("_at", at).where("_at = 1")).select("_part", F.col("value").alias("_head"))
     parts = heads.select("_part")
     around = Window.orderBy("_part")
     first = F.first("_part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     follows = parts.select("_part", F.coalesce(F.lead("_part").over(around), first).alias("_after"))
     given = follows.join(heads.withColumnRenamed("_part", "_after"), "_after").select("_part", "_head")
-    return dealt.join(given, "_part", "left").withColumn("next", F.coalesce("_next", "_head")).drop("_part", "_value", "_next", "_at", "_head")
+    return here.join(given, "_part", "left").select(order, "here", F.coalesce("_next", "_head").alias("next"))
 
 
 def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -110,14 +138,15 @@ def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     texts count as empty, null ids come first, rows with the same id are ordered by text.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    found = lexicon(rows, F.col("text"), low, high)
-    marked = rows.withColumn("_terms", terms(F.col("text"))).withColumn("fingerprint", fingerprint("_terms", found)).drop("_terms")
-    beside = with_next(marked, "doc_id", F.struct("text", "fingerprint"))
-    n = F.length("text")
+    found = bucketed(docs, lexicon(rows, F.col("text"), low, high))
+    beside = with_next(rows, "doc_id", "text", lambda d: fingerprinted(d, "text", "fingerprint", found).withColumn("value", F.struct("text", "fingerprint")))
+    n = F.length("here.text")
     m = F.floor(n / 4).cast("int")
-    edited = beside.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring(F.col("next.text"), F.lit(1), m)))
-    made = edited.withColumn("_terms", terms(F.col("edited"))).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
-        fingerprint("_terms", found).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"),
+    edited = beside.withColumn("edited", F.concat(F.substring("here.text", F.lit(1), n - m), F.substring(F.col("next.text"), F.lit(1), m)))
+    made = fingerprinted(edited, "edited", "edited_fingerprint", found)
+    of = lambda c: (F.col(f"{c}.fingerprint"), F.col(f"{c}.text"))
+    (a, text), (b, following) = of("here"), of("next")
+    return made.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), a.alias("fingerprint"), "edited_fingerprint",
+        likeness(a, F.col("edited_fingerprint"), text, F.col("edited")).alias("near_edited"), likeness(a, b, text, following).alias("near_next"),
     )
-    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlog.llm import dart_minhash, suffix_dedup
 from strandlog.llm.dart_minhash import changes, links_between, near_classes, signatures
-from strandlog.llm.imatch import imatch
+from strandlog.llm.imatch import LOW, imatch, lexicon
 from strandlog.llm.shingles import folded, multiset, shingle_hashes, weighted_jaccard
 from strandlog.llm.suffix_dedup import removed_spans, repeats_digest
 
@@ -133,3 +134,20 @@ def test_imatch(spark):
         assert by_text.setdefault(of[i], found[i]["fingerprint"]) == found[i]["fingerprint"]
     long = [found[i] for i in ids if len(of[i]) > 300]
     assert sum(r["near_edited"] for r in long) > sum(r["near_next"] for r in long)
+
+
+def test_imatch_grades_texts_without_lexicon_terms(spark):
+    draw = random.Random(17)
+    own = [f"own{k}" for k in range(200)]
+    rows = [(k, text_of(draw, 60)) for k in range(150)] + [(1000, " ".join(own)), (1001, " ".join(own[:150] + [f"other{k}" for k in range(50)])), (1002, text_of(draw, 60))]
+    found = {r["doc_id"]: r for r in imatch(spark.createDataFrame(rows, "doc_id bigint, text string"), low=0.02, high=0.05).collect()}
+    assert found[1000]["fingerprint"].startswith("x") and found[1001]["fingerprint"].startswith("x")
+    assert 0.3 < found[1000]["near_edited"] < 1 and 0 < found[1000]["near_next"] < 1
+    assert 0 < found[1001]["near_edited"] < 1 and found[1001]["near_next"] == 0
+
+
+def test_imatch_lexicon_stays_out_of_the_plan(spark):
+    assert LOW == 0.001
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(corpus(18))], "doc_id bigint, text string")
+    plan = imatch(docs, low=0.0, high=0.2)._jdf.queryExecution().toString()
+    assert not any(str(h) in plan for h in lexicon(docs, F.col("text"), 0.0, 0.2)[100:200])
