@@ -1,6 +1,6 @@
 """I-Match fingerprints with randomised lexicons, by DataFrame functions only.
 
-The lexicon holds the terms whose share of documents lies in a band: terms that are neither common nor rare (a band of
+The lexicon holds the terms whose share of distinct texts lies in a band: terms that are neither common nor rare (a band of
 inverse document frequency). A text keeps its distinct terms of the lexicon, sorted. Each of several random subsets of
 the lexicon, thinned at several rates, gives one hash of the kept terms that it holds; the fingerprint is the row of
 these hashes, the first over the whole lexicon. Two fingerprints are alike by the share of equal hashes among those
@@ -14,8 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least and largest share of documents of a lexicon term. The lexicon has at most the mean number of distinct terms
-#: of a document divided by the least share.
+from strandlog.llm.common import durable
+
+#: Least and largest share of distinct texts of a lexicon term. The lexicon has at most the mean number of distinct terms
+#: of a text divided by the least share.
 LOW, HIGH = 0.001, 0.02
 #: Subsets hold one in so many of the lexicon's terms; so many subsets of each rate.
 RATES, EACH = (8, 32, 128, 512), 12
@@ -24,6 +26,8 @@ LEAST_FILLED = 6
 SEED = 17
 WIDTH = 8
 EMPTY = "0" * WIDTH
+#: Hashes of texts with copies are sent to all tasks up to so many.
+BROADCAST_COPIES = 500_000
 #: Hashes of the lexicon lie in so many lists, by their last bits.
 BUCKETS = 1 << 16
 #: Rows that are meant to stand together when the next document is looked up.
@@ -42,9 +46,18 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: Column, low: float = LOW, high: float = HIGH) -> list[int]:
-    """Hashes of the terms whose share of the rows lies in the band and that two rows have at least."""
-    n = docs.count()
-    distinct = docs.select(term_hashes(text).alias("h"))
+    """Hashes of the terms whose share of the distinct texts lies in the band and that two of them have at least.
+
+    Copies count once, told by a hash of the text. Only texts with copies meet at one task, by the hashes of their terms.
+    """
+    hashed = docs.select(text.alias("text"), F.xxhash64(text).alias("t"))
+    copies = durable(hashed.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"))
+    found = copies.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("more")).first()
+    n = docs.count() - found["more"]
+    held = F.broadcast(copies.select("t")) if found["texts"] <= BROADCAST_COPIES else copies.select("t")
+    alone = hashed.join(held, "t", "left_anti").select("t", term_hashes(F.col("text")).alias("h"))
+    first = hashed.join(held, "t", "left_semi").select("t", term_hashes(F.col("text")).alias("h")).dropDuplicates(["t"])
+    distinct = alone.unionByName(first)
     counts = distinct.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     return sorted(r["h"] for r in counts.where((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n))).collect())
 

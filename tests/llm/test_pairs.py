@@ -136,6 +136,13 @@ def test_imatch(spark):
     assert sum(r["near_edited"] for r in long) > sum(r["near_next"] for r in long)
 
 
+def test_imatch_copies_leave_the_lexicon_alone(spark):
+    draw = random.Random(16)
+    texts = [text_of(draw, 60) for _ in range(150)]
+    lexicon_of = lambda ts: lexicon(spark.createDataFrame([(t,) for t in ts], "text string"), F.col("text"), 0.0, 0.02)
+    assert lexicon_of(texts) == lexicon_of(texts + texts[:1] * 70 + texts[1:40])
+
+
 def test_imatch_grades_texts_without_lexicon_terms(spark):
     draw = random.Random(17)
     own = [f"own{k}" for k in range(200)]
