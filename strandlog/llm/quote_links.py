@@ -8,7 +8,7 @@ by their depth in the reply tree and their turn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.common import durable
@@ -76,7 +76,7 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     out = out.join(parents, ["conv_id", "turn"], "left").join(trees, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
-        F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "text",
+        F.col("conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "text",
     )
 
 
@@ -95,11 +95,20 @@ def reply_trees(links: DataFrame) -> DataFrame:
 
 
 def conversations_without_quotes(messages: DataFrame) -> DataFrame:
-    """conv_id, place, turn, role, text: each conversation's messages in reply order, from 1. A message comes after the
-    one it replies to; messages at one depth keep their turns' order."""
-    from pyspark.sql import Window
+    """The columns of quote_links and place: each conversation's messages in reply order, from 1. A message comes after
+    the one it replies to; messages at one depth keep their turns' order.
 
+    Conversations are cut into ranges of the order, so a long one is sorted by many tasks. A row's place is its place in
+    its range and the sizes of its conversation's parts in the ranges before.
+    """
     linked = quote_links(messages)
-    # a conversation may be long: Spark sorts it on disk, row by row, and no row gathers it
-    w = Window.partitionBy("conv_id").orderBy("depth", "turn")
-    return linked.select("conv_id", F.row_number().over(w).alias("place"), "turn", "role", "text")
+    order = [F.col("conv_id"), F.col("depth"), F.col("turn"), F.col("role"), F.xxhash64("text")]
+    n = max(1, int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = durable(linked.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    parts = ranged.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one conversation goes on from a range to the next, so this has at most one row a range
+    before = parts.withColumn("_before", F.sum("_n").over(w)).where("_before IS NOT NULL").select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_at"), "_before")
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range", "conv_id").orderBy(*order[1:])))
+    placed = own.join(F.broadcast(before), (F.col("_range") == F.col("_at")) & F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return placed.select(*linked.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("long").alias("place"))

@@ -13,7 +13,7 @@ from strandlog.llm.dart_minhash import near_classes
 from strandlog.llm.hyperdim_lang import language_id
 from strandlog.llm.imatch import imatch
 from strandlog.llm.license_scan import license_scan
-from strandlog.llm.quote_links import quote_links
+from strandlog.llm.quote_links import conversations_without_quotes
 from strandlog.llm.suffix_dedup import repeats_digest
 from strandlog.llm.toxic_lexicon import toxicity
 from strandlog.llm.unigram_pieces import encoding_digest
@@ -47,7 +47,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quote_links")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links(read_table(spark, sf_dir, "conversations"))
+    return conversations_without_quotes(read_table(spark, sf_dir, "conversations"))
 
 
 @query("op5_compression_bands")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlog.llm import hyperdim_lang, license_scan, raking, toxic_lexicon
+from strandlog.llm import hyperdim_lang, license_scan, raking, registry, toxic_lexicon
 from strandlog.llm.compression_bands import base_counts, chunks_of, compression_bands
 from strandlog.llm.quote_links import conversations_without_quotes, quote_links
 from strandlog.llm.unigram_pieces import BYTE, MARKER, NORMAL, DoubleArray, Encoder, Pieces
@@ -163,6 +163,20 @@ def test_quotes(spark):
     assert [r["turn"] for r in conversations_without_quotes(df).where("conv_id = 1").orderBy("place").collect()] == [0, 3, 1, 2]
 
 
+def test_reply_order_is_registered(spark, tmp_path):
+    draw = random.Random(19)
+    rows = [(1, k, "u", f"> message {k - 1} says it\nmessage {k} says it" if k and draw.random() < 0.5 else f"message {k} says it") for k in range(400)]
+    rows += [(c, k, "u", "some words") for c in (0, 2, 3) for k in range(5)] + [(None, 1, "u", "x")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = registry.queries()["op4_quote_links"](spark, str(tmp_path)).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["conv_id"], []).append((r["depth"], r["turn"], r["place"]))
+        assert r["root_conv"] == r["conv_id"]
+    assert len(found) == len(rows) and max(d for d, _, _ in by[1]) > 2
+    assert all([p for _, _, p in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+
+
 def test_raking_meets_its_targets(spark):
     draw = random.Random(10)
     rows = [(k, " ".join(["w"] * draw.randrange(1, 50)), draw.choice(["s1", "s1", "s2"]), draw.choice(["en", "en", "en", "de"])) for k in range(400)]
