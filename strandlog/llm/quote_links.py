@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.common import durable
 
+#: Units of fewer words are too common to link messages of different conversations, or to stand for a longer passage.
+LEAST_WORDS = 3
 _MARKS = r"^((?:[ \t]*>)+)"
 
 
@@ -40,6 +42,11 @@ def passages(text: Column) -> Column:
     return F.filter(F.aggregate(lines, start, step), lambda p: p["body"] != "")
 
 
+def units(body: Column) -> Column:
+    """A passage, its lines and its sentences, each once."""
+    return F.array_distinct(F.concat(F.array(body), F.split(body, "\n"), F.split(F.translate(body, "\n", " "), r"(?<=[.!?])\s+")))
+
+
 def passage_key(body: Column) -> Column:
     """Hash of the words in lower case: white space and punctuation at their edges do not matter."""
     return F.md5(F.trim(F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " ")).cast("binary"))
@@ -52,24 +59,32 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     conversation wrote, else that a message of another conversation wrote first (least conv_id, turn); null for none.
     root and depth follow the parents within the conversation. text has no quotes. A message is a (conv_id, turn); rows
     that share one are one message each with the same links. Null texts are empty; rows with a null conv_id or turn are
-    messages without links. Passages of fewer than three words are not looked up.
+    messages without links. A quoted passage is looked up as a whole and by
+    its lines and sentences, and so is what was written; the longest that is found tells. Fewer than LEAST_WORDS words
+    link whole passages within the conversation only.
     """
     m = messages.select(messages[conv].cast("long").alias("conv_id"), messages[turn].cast("long").alias("turn"), messages[role].cast("string").alias("role"), passages(messages[text]).alias("p"))
     own = F.array_join(F.transform(F.filter("p", lambda p: p["level"] == 0), lambda p: p["body"]), "\n\n")
     m = durable(m.select("conv_id", "turn", "role", own.alias("text"), "p"))
-    cut = m.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.posexplode("p").alias("at", "p"))
-    cut = cut.select("conv_id", "turn", "at", "p.level", passage_key(F.col("p.body")).alias("key"), F.size(F.split(F.col("p.body"), r"\s+")).alias("words")).where("words >= 3")
-    quoted = durable(cut.where("level > 0").drop("words"))
+    cut = m.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.posexplode("p").alias("at", "p")).select("conv_id", "turn", "at", "p.level", "p.body")
+    unit = cut.select("conv_id", "turn", "at", "level", F.posexplode(units(F.col("body"))).alias("k", "unit"))
+    unit = unit.select("conv_id", "turn", "at", "level", "k", passage_key(F.col("unit")).alias("key"), F.size(F.split("unit", r"\s+")).alias("words"), F.length("unit").alias("size"))
+    quoted = durable(unit.where(f"level > 0 AND (k = 0 OR words >= {LEAST_WORDS})"))
     # what was written, looked at only where it is quoted; grouped before it is joined, so a common passage is one row
     keys = quoted.select("key").distinct()
-    written = cut.where("level = 0").join(keys, "key", "left_semi")
+    written = unit.where("level = 0").join(keys, "key", "left_semi")
     here = written.groupBy("key", "conv_id").agg(F.min("turn").alias("first_turn"))
-    anywhere = here.groupBy("key").agg(F.min(F.struct("conv_id", "first_turn")).alias("first"))
+    # the two least conversations of a key, so that one other than the message's own is at hand; each task sends on two rows a key
+    two = here.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("conv_id"))).where("r <= 2")
+    anywhere = two.groupBy("key").agg(F.min(F.struct("conv_id", "first_turn")).alias("first"), F.max(F.struct("conv_id", "first_turn")).alias("second"))
     found = quoted.join(here, ["key", "conv_id"], "left").join(anywhere, "key", "left")
-    inside = F.col("first_turn") < F.col("turn")
-    target = F.when(inside, F.struct(F.col("conv_id").alias("c"), F.col("first_turn").alias("t"))).when(F.col("first.conv_id") != F.col("conv_id"), F.struct(F.col("first.conv_id").alias("c"), F.col("first.first_turn").alias("t")))
-    linked = found.select("conv_id", "turn", F.struct((~F.coalesce(inside, F.lit(False))).cast("int").alias("away"), F.col("level").alias("l"), F.col("at").alias("a"), target.alias("to")).alias("link"), target.isNotNull().alias("ok"))
-    parents = linked.groupBy("conv_id", "turn").agg(F.min(F.when(F.col("ok"), F.col("link"))).alias("best"), F.count_if("ok").alias("n_linked"), F.count("*").alias("n_found"))
+    inside = F.coalesce(F.col("first_turn") < F.col("turn"), F.lit(False))
+    place = lambda c: F.struct(F.col(f"{c}.conv_id").alias("c"), F.col(f"{c}.first_turn").alias("t"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), place("first")).when(F.col("second.conv_id") != F.col("conv_id"), place("second"))
+    target = F.when(inside, F.struct(F.col("conv_id").alias("c"), F.col("first_turn").alias("t"))).when(F.col("words") >= LEAST_WORDS, other)
+    linked = found.select("conv_id", "turn", "level", "at", (-F.col("size")).alias("s"), (~inside).cast("int").alias("away"), "k", target.alias("to")).where("to IS NOT NULL")
+    longest = linked.groupBy("conv_id", "turn", "level", "at").agg(F.min(F.struct("s", "away", "k", "to")).alias("x"))
+    parents = longest.groupBy("conv_id", "turn").agg(F.min(F.struct("x.away", "level", "at", "x.to")).alias("best"), F.count("*").alias("n_linked"))
     parents = durable(parents.select("conv_id", "turn", F.col("best.to.c").alias("parent_conv"), F.col("best.to.t").alias("parent_turn"), "n_linked"))
     trees = reply_trees(parents.where("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("up")))
     out = m.select("conv_id", "turn", "role", F.size(F.filter("p", lambda p: p["level"] > 0)).cast("long").alias("n_quotes"), "text")

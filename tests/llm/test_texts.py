@@ -177,6 +177,19 @@ def test_reply_order_is_registered(spark, tmp_path):
     assert all([p for _, _, p in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
 
 
+def test_quotes_of_parts(spark):
+    rows = [
+        (1, 0, "u", "First thing I say. Second thing I say here. Third one.\nA line of its own here"), (1, 1, "a", "> Second thing I say here.\nwhy"), (1, 2, "a", "> A line of its own here\nyes please"),
+        (1, 3, "u", "> yes please\ngood"), (1, 4, "u", "> First thing I say. Second thing I say here.\nok then"), (2, 0, "u", "> yes please\nelsewhere"),
+        (0, 5, "u", "> said by two of them\nsaid by two of them"), (7, 0, "u", "said by two of them"),
+    ]
+    found = quote_links(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    parents = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in found}
+    none = (None, None)
+    assert parents == {(1, 0): none, (1, 1): (1, 0), (1, 2): (1, 0), (1, 3): (1, 2), (1, 4): (1, 0), (2, 0): none, (0, 5): (7, 0), (7, 0): none}
+    assert {r["turn"]: r["n_linked"] for r in found if r["conv_id"] == 1} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_raking_meets_its_targets(spark):
     draw = random.Random(10)
     rows = [(k, " ".join(["w"] * draw.randrange(1, 50)), draw.choice(["s1", "s1", "s2"]), draw.choice(["en", "en", "en", "de"])) for k in range(400)]
