@@ -149,6 +149,22 @@ def test_licences(spark):
     assert all(found[k] == "" for k in range(len(every), 60))
 
 
+def test_licences_without_an_anchor(spark):
+    for ts in license_scan.TEMPLATES.values():
+        for t in map(license_scan.words_of, ts):
+            assert len(set(t)) < license_scan.LEAST_COMMON * len(license_scan.ngrams_of(t))
+    pairs, cover = license_scan.template_pairs()
+    assert all(set(p.split()) & set(cover) for p in pairs)
+    draw = random.Random(20)
+    lines = ["Text: CC BY 4.0", "available under a Creative Commons Attribution 4.0 International", "to deal in the Software without restriction"]
+    prose = [" ".join(draw.choices(["river", "stone", "the", "of", "light"], k=30)) for _ in range(20)]
+    docs = spark.createDataFrame([(k, f"{p}\n{lines[k] if k < 3 else ''}") for k, p in enumerate(prose)], "doc_id bigint, text string")
+    made = license_scan.train(docs.where("doc_id >= 3"))  # on lines of prose
+    found = {(r["id"], r["line"]): r for r in license_scan.scan(docs, made).collect()}
+    assert all(found[k, 2]["common"] >= license_scan.LEAST_COMMON for k in range(3))
+    assert found[0, 2]["family"] == "cc-by" == found[1, 2]["family"] and found[2, 2]["family"] == "mit"
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello my dear friend there"), (1, 1, "a", "> Hello my dear friend there\n\nI answer you with this"),
