@@ -137,32 +137,82 @@ def test_toxicity_learns(spark):
     assert len(held) > 100 and all(r["predicted"] == labels[r["doc_id"]][2] for r in held)
 
 
+def licences(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+
+
 def test_licences(spark):
     every = [t for ts in license_scan.TEMPLATES.values() for t in ts]
-    assert all(any(a in t.lower() for a in license_scan.ANCHORS) for t in every)
     draw = random.Random(9)
-    prose = [" ".join(draw.choices(["river", "stone", "the", "of", "light", "copyright", "permission", "terms"], k=30)) for _ in range(60)]
+    prose = [" ".join(draw.choices(["river", "stone", "the", "of", "light", "copyright", "permission", "terms"], k=30)) for _ in range(90)]
     rows = [(k, f"{p}\n{every[k] if k < len(every) else ''}\n{p}") for k, p in enumerate(prose)]
-    found = {r["doc_id"]: r["families"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = licences(spark, rows)
     families = [f for f, ts in license_scan.TEMPLATES.items() for _ in ts]
-    assert sum(found[k] == f for k, f in enumerate(families)) >= len(families) - 1
-    assert all(found[k] == "" for k in range(len(every), 60))
+    assert len(families) < 90 and [k for k, f in enumerate(families) if found[k]["families"] != f] == []
+    assert all(found[k]["first_line"] == 2 for k in range(len(every)))
+    assert all(found[k]["families"] == "" for k in range(len(every), 90))
 
 
-def test_licences_without_an_anchor(spark):
-    for ts in license_scan.TEMPLATES.values():
-        for t in map(license_scan.words_of, ts):
-            assert len(set(t)) < license_scan.LEAST_COMMON * len(license_scan.ngrams_of(t))
-    pairs, cover = license_scan.template_pairs()
-    assert all(set(p.split()) & set(cover) for p in pairs)
+def test_licences_in_parts_and_wrapped(spark):
     draw = random.Random(20)
-    lines = ["Text: CC BY 4.0", "available under a Creative Commons Attribution 4.0 International", "to deal in the Software without restriction"]
-    prose = [" ".join(draw.choices(["river", "stone", "the", "of", "light"], k=30)) for _ in range(20)]
-    docs = spark.createDataFrame([(k, f"{p}\n{lines[k] if k < 3 else ''}") for k, p in enumerate(prose)], "doc_id bigint, text string")
-    made = license_scan.train(docs.where("doc_id >= 3"))  # on lines of prose
-    found = {(r["id"], r["line"]): r for r in license_scan.scan(docs, made).collect()}
-    assert all(found[k, 2]["common"] >= license_scan.LEAST_COMMON for k in range(3))
-    assert found[0, 2]["family"] == "cc-by" == found[1, 2]["family"] and found[2, 2]["family"] == "mit"
+    words = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.".split()
+    wrapped = "\n".join([" ".join(words[:9]), " ".join(words[9:18]), " ".join(words[18:])])
+    cases = [
+        ("Text: CC BY 4.0", "cc-by", 2), ("available under a Creative Commons Attribution 4.0 International", "cc-by", 2), ("to deal in the Software without restriction", "mit", 2),
+        (f"\n{wrapped}\n", "mit", 3), ("# SPDX-License-Identifier: MIT", "mit", 2), ("SPDX-License-Identifier: EUPL-1.2", "eupl", 2), ("Distributed under CC BY 4.0.", "cc-by", 2),
+        ("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "apache,mit", 2), ("of the river", "", None), ("the stone license of light", "", None),
+    ]
+    prose = [" ".join(draw.choices(["river", "stone", "the", "of", "light", "to", "any"], k=30)) for _ in range(200)]
+    rows = [(k if k != 4 else None, f"{p}\n{cases[k][0] if k < len(cases) else ''}") for k, p in enumerate(prose)]
+    found = licences(spark, rows + [(6, "no more"), (500, rows[0][1])])
+    assert [(found[k if k != 4 else None]["families"], found[k if k != 4 else None]["first_line"]) for k in range(len(cases)) if k != 6] == [(f, n) for k, (_, f, n) in enumerate(cases) if k != 6]
+    assert found[500]["families"] == "cc-by"
+
+
+def brute_licences(made, text):
+    """Every paragraph's best family, by plain loops over words."""
+    notices = [(f, set(license_scan.ngrams_of(license_scan.words_of(t)))) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    at = {g: k for k, g in enumerate(made.vocabulary)}
+    lines = text.split("\n")
+    units, block = [(x, False) for x in lines if x.strip()], []
+    for x in [*lines, ""]:
+        if x.strip():
+            block.append(x)
+        else:
+            units += [("\n".join(block), True)] if len(block) > 1 else []
+            block = []
+    plain, whole = [], []
+    for unit, is_block in units:
+        grams = license_scan.ngrams_of(license_scan.words_of(unit))
+        hits = [at[g] for g in grams if g in at]
+        if not hits:
+            continue
+        z = made.weights[hits].round(6).sum(axis=0) / len(hits) ** 0.5 + made.bias
+        p = made.probabilities(z[None, :] / made.temperature)[0]
+        name = made.classes[int(p.argmax())]
+        share = max((len(gs & set(grams)) / min(len(gs), max(len(grams), 6)) for f, gs in notices if f == name), default=0)
+        if name != license_scan.UNKNOWN and p.max() >= license_scan.LEAST_PROBABILITY and share >= license_scan.LEAST_COMMON:
+            (whole if is_block else plain).append(name)
+    return ",".join(sorted({*plain, *whole})), len(plain) + sum(f not in plain for f in whole)
+
+
+def test_licences_against_brute_force(spark):
+    draw = random.Random(21)
+    every = [t.split() for ts in license_scan.TEMPLATES.values() for t in ts]
+    rows = []
+    for k in range(120):
+        parts = []
+        for _ in range(draw.randrange(1, 6)):
+            of = draw.choice(every)
+            a = draw.randrange(len(of))
+            cut = [w for w in of[a : a + draw.randrange(1, 30)] if draw.random() < 0.9]
+            parts.append(draw.choice(["", " "]).join([""]) + " ".join(draw.choices(["river", "the", "of", "light"], k=draw.randrange(6)) + cut))
+        rows.append((k, draw.choice(["\n", "\n\n", " "]).join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = license_scan.train(docs)
+    found = {r["doc_id"]: (r["families"], r["n_paragraphs"]) for r in license_scan.license_scan(docs).collect()}
+    assert found == {k: brute_licences(made, t) for k, t in rows}
 
 
 def test_quotes(spark):
