@@ -9,6 +9,7 @@ where either text has a term. A text without a lexicon term is compared by subse
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ EMPTY = "0" * WIDTH
 BROADCAST_COPIES = 500_000
 #: Hashes of the lexicon lie in so many lists, by their last bits.
 BUCKETS = 1 << 16
-#: Rows that are meant to stand together when the next document is looked up.
-NEIGHBOURS = 512
+#: So many stretches of the order for each shuffle partition, when the next document is looked up.
+STRETCHES = 8
 
 _GAPS = ".,;:!?\"'()[]{}<>|/\\*_=+#&%$@~^`\n\t\r\x0b\x0c"
 
@@ -120,27 +121,70 @@ def likeness(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
     return F.when(a == b, 1.0).when(bare(a) | bare(b), alike(whole(a, text_a), whole(b, text_b))).otherwise(alike(a, b)).cast("double")
 
 
-def with_next(rows: DataFrame, order: str, tie: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def stretches(rows: DataFrame, order: str) -> tuple[list[int], int]:
+    """Values of the order column (an integer) that cut it into stretches of about equally many rows, ascending; one that
+    repeats holds so many stretches alone. And how many stretches the rows with a null fill.
+
+    Their number follows the shuffle partitions, not the rows.
+    """
+    n = STRETCHES * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(
+        F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("cuts"), F.count_if(F.col(order).isNull()).alias("absent"), F.count("*").alias("n"),
+    ).first()
+    return found["cuts"] or [], -(-n * found["absent"] // max(1, found["n"]))
+
+
+def stretch_of(value: Column, text_hash: Column, cuts: list[int], n_absent: int) -> Column:
+    """Number of the stretch of a row; numbers ascend with (value, text_hash), nulls first.
+
+    The cuts are looked through in two steps, so a row is compared with about twice the root of their number.
+    """
+    times = Counter(cuts)
+    distinct = sorted(times)
+    # a value that fills several stretches is cut by the hash
+    first, at = [], n_absent + 1
+    for c in distinct:
+        first.append(at)
+        at += times[c]
+    size = max(1, int(len(distinct) ** 0.5))
+    groups = [list(zip(distinct, first, strict=True))[k : k + size] for k in range(0, len(distinct), size)]
+    part = lambda n: F.least(F.floor((text_hash.cast("double") / F.lit(2.0**64) + F.lit(0.5)) * n), n - 1).cast("long")
+    null = part(F.lit(max(1, n_absent)).cast("double")) if n_absent else F.lit(0).cast("long")
+    if not distinct:
+        return F.when(value.isNull(), null).otherwise(F.lit(n_absent).cast("long"))
+    table = F.array(*[F.array(*[F.struct(F.lit(c).cast("long").alias("c"), F.lit(f).cast("long").alias("f"), F.lit(times[c]).cast("double").alias("n")) for c, f in g]) for g in groups])
+    row = F.struct(value.alias("v"), text_hash.alias("h"))
+    # each cut begins its own stretches; below the first there is one more
+    of_group = lambda z: F.element_at(F.filter(table, lambda g: g[0]["c"] <= z["v"]), -1)
+    last = lambda z: F.element_at(F.filter(of_group(z), lambda e: e["c"] <= z["v"]), -1)
+    inside = lambda z, e: e["f"] + F.when(z["v"] == e["c"], F.least(F.floor((z["h"].cast("double") / F.lit(2.0**64) + F.lit(0.5)) * e["n"]), e["n"] - 1)).otherwise(e["n"] - 1).cast("long")
+    known = F.transform(F.array(row), lambda z: F.transform(F.array(last(z)), lambda e: inside(z, e))[0])[0]
+    return F.when(value.isNull(), null).when(value < F.lit(distinct[0]), F.lit(n_absent).cast("long")).otherwise(known)
+
+
+def with_next(rows: DataFrame, order: str, text: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """order, and as here and next the columns value of made(rows) of a row and of the row that follows in ascending
-    order (nulls first), then by tie; after the last, the first. value is a struct that has tie.
+    order (nulls first), then by hash of the text; after the last, the first. value is a struct that has text.
 
-    Rows are dealt by stretches of the order column (an integer), so neighbours meet in one task, and the first row of
-    each stretch is handed to the stretch before it.
+    Rows are dealt by stretches of the order, so neighbours meet in one task, and the first row of each stretch is
+    handed to the stretch before it. A value that a large part of the rows share is cut into stretches by the text's hash.
     """
-    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
-    low, n = span["low"] or 0, span["n"]
-    width = max(1, -(-((span["high"] or 0) - low + 1) // max(1, n // NEIGHBOURS + 1)))
-    dealt = rows.withColumn("_part", F.coalesce(F.floor((F.col(order) - low) / width), F.lit(-1)).cast("long"))
-    here = made(dealt).select(order, "_part", F.col("value").alias("here"))
-    here = here.withColumn("_next", F.lead("here").over(Window.partitionBy("_part").orderBy(order, f"here.{tie}")))
-    # the heads are found before their values are made
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(order, tie))
-    heads = made(dealt.withColumn("_at", at).where("_at = 1")).select("_part", F.col("value").alias("_head"))
+    dealt = rows.withColumn("_hash", F.xxhash64(text)).withColumn("_part", stretch_of(F.col(order), F.col("_hash"), *stretches(rows, order)))
+    here = made(dealt).select(order, "_part", "_hash", F.col("value").alias("here"))
+    w = Window.partitionBy("_part").orderBy(order, "_hash", f"here.{text}")
+    here = here.withColumn("_next", F.lead("here").over(w))
+    # the heads: numbers tell nearly all rows apart, so few texts are sorted; one row a stretch, so all of them are few
+    least = dealt.groupBy("_part").agg(F.min(order).alias("_least"))
+    firsts = dealt.join(F.broadcast(least.withColumnRenamed("_part", "_p")), (F.col("_part") == F.col("_p")) & F.col(order).eqNullSafe(F.col("_least")), "left_semi")
+    hashes = firsts.groupBy("_part").agg(F.min("_hash").alias("_least"))
+    firsts = firsts.join(F.broadcast(hashes.withColumnRenamed("_part", "_p")), (F.col("_part") == F.col("_p")) & (F.col("_hash") == F.col("_least")), "left_semi")
+    first = firsts.groupBy("_part", order).agg(F.min(text).alias(text))
+    heads = made(first).select("_part", F.col("value").alias("_head"))
     parts = heads.select("_part")
-    around = Window.orderBy("_part")
-    first = F.first("_part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    follows = parts.select("_part", F.coalesce(F.lead("_part").over(around), first).alias("_after"))
-    given = follows.join(heads.withColumnRenamed("_part", "_after"), "_after").select("_part", "_head")
+    around = Window.orderBy("_part")  # one row a stretch
+    lowest = F.first("_part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = parts.select("_part", F.coalesce(F.lead("_part").over(around), lowest).alias("_after"))
+    given = durable(follows.join(heads.withColumnRenamed("_part", "_after"), "_after").select("_part", "_head"))
     return here.join(given, "_part", "left").select(order, "here", F.coalesce("_next", "_head").alias("next"))
 
 
@@ -148,7 +192,7 @@ def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next document. Null
-    texts count as empty, null ids come first, rows with the same id are ordered by text.
+    texts count as empty, null ids come first, rows with the same id are ordered by a hash of the text.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     found = bucketed(docs, lexicon(rows, F.col("text"), low, high))

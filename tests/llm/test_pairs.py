@@ -136,6 +136,27 @@ def test_imatch(spark):
     assert sum(r["near_edited"] for r in long) > sum(r["near_next"] for r in long)
 
 
+@pytest.mark.parametrize("ids", ["wide", "hot", "null", "mixed"])
+def test_imatch_finds_the_next_document(spark, ids):
+    draw = random.Random(22)
+    n = 300
+    made = {
+        "wide": [-(2**62) - 5, 2**62 + 5, *(draw.randrange(-(2**63), 2**63) for _ in range(n - 4)), 2**63 - 1, -(2**63)],
+        "hot": [7] * 150 + list(range(1000, 1000 + n - 150)), "null": [None] * 200 + draw.sample(range(10**6), n - 200), "mixed": [None] * 60 + [5] * 120 + draw.sample(range(1000), n - 180),
+    }[ids]
+    rows = [(i, f"text {k} {text_of(draw, draw.randrange(0, 9))}") for k, i in enumerate(made)]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    expected = []
+    for k, (i, t) in enumerate(order):
+        m = len(t) // 4
+        expected.append((i, hashlib.sha256((t[: len(t) - m] + order[(k + 1) % n][1][:m]).encode()).hexdigest()))
+    found = [(r["doc_id"], r["edited_sha256"]) for r in imatch(docs).select("doc_id", "edited_sha256").collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 def test_imatch_copies_leave_the_lexicon_alone(spark):
     draw = random.Random(16)
     texts = [text_of(draw, 60) for _ in range(150)]
