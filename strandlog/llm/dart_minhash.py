@@ -29,7 +29,7 @@ from strandlog.llm.shingles import WORDS, folded, in_chunks, multiset, shingle_h
 SIMILARITY = 0.8
 #: At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8^5)^26, about 3e-5.
 ROWS, BANDS = 5, 26
-#: Rows of one leader that are held against each other in one task.
+#: Rows of one leader that are dealt together.
 BLOCK_ROWS = 2048
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0x9E3779B97F4A7C15)
@@ -145,28 +145,37 @@ def links_between(x: list[tuple], y: list[tuple], similarity: float) -> list[tup
 
 
 def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """a, b, similarity, weight (of a), changes (of a against b) of the pairs (a, b); texts: id, text."""
+    """a, b, similarity, weight (of a), changes (of a against b) of the pairs (a, b); texts: id, text.
+
+    The pairs of one b are dealt in blocks. A block starts with a row that carries b's text, so the text is sent once a block
+    and not with each pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, tuple] = (None, ())
+        leader: tuple = ()
         for batch in batches:
-            a, b = batch.column(0), batch.column(1).to_pylist()
-            near, weights, made = [], [], []
-            for k, leader in enumerate(b):
-                if leader != last[0]:
-                    last = leader, multiset(folded(batch.column(3)[k].as_py()), words)
-                own = multiset(folded(batch.column(2)[k].as_py()), words)
-                near.append(weighted_jaccard(own, last[1]))
+            ids, near, weights, made = ([], []), [], [], []
+            for b, a, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = multiset(folded(text.as_py()), words)
+                if a is None:  # comes before the rows that are held against it
+                    leader = own
+                    continue
+                ids[0].append(a)
+                ids[1].append(b)
+                near.append(weighted_jaccard(own, leader))
                 weights.append(int(own[1].sum()))
-                made.append(changes(own, last[1]).view(np.int64))
+                made.append(changes(own, leader).view(np.int64))
             ends = np.cumsum([0] + [len(c) for c in made]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([a, batch.column(1), pa.array(near, pa.float64()), pa.array(weights, pa.int64()), lists], names=["a", "b", "similarity", "weight", "changes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64()), pa.array(near, pa.float64()), pa.array(weights, pa.int64()), lists], names=["a", "b", "similarity", "weight", "changes"])
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, similarity double, weight bigint, changes array<bigint>")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    # ids are dealt by b, texts by a and then by block: no text goes to a task because of its leader
+    blocks = pairs.join(sizes, "b").select("b", F.pmod(F.hash("a"), "blocks").alias("block"), "a")
+    rows = blocks.join(texts.withColumnRenamed("id", "a"), "a").select("b", "a", "text", "block")
+    heads = sizes.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    dealt = rows.unionByName(heads).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+    return dealt.select("b", "a", "text").mapInArrow(run, "a bigint, b bigint, similarity double, weight bigint, changes array<bigint>")
 
 
 def near_classes(
@@ -209,15 +218,18 @@ def near_classes(
     links = tested.where(F.col("similarity") >= similarity).select("a", "b")
     labels = connected_components(links)
 
-    # Rows of one leader in different classes, not both linked with it, can still be linked. The rows outside the
-    # leader's class are held against all its rows, in blocks, so that a task has two blocks of rows at most.
+    # Rows of one leader in different classes, not both linked with it, can still be linked. The rows outside the leader's
+    # class ask: in blocks of their own, each of which is held against each block of all the leader's rows. A task gets two
+    # blocks at a time; rows that nobody asks for are not sent.
     named = tested.join(labels.select(F.col("id").alias("a"), F.col("label").alias("known")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("label").alias("head")), "b", "left")
     placed = durable(named.select("a", "b", "weight", "changes", F.coalesce("known", "a").alias("class_of"), (F.coalesce("known", "a") != F.coalesce("head", "b")).alias("out")))
-    crowds = placed.groupBy("b").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).where("n > 1 AND n_out > 0")
-    dealt = placed.join(crowds.select("b", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "b").withColumn("own", F.pmod(F.hash("a"), "blocks"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    one = dealt.where("out").select("b", F.col("own").alias("i"), others, "a", "weight", "class_of", "changes", F.lit(True).alias("asks")).withColumnRenamed("other", "j")
-    two = dealt.select("b", F.col("own").alias("j"), others, "a", "weight", "class_of", "changes", F.lit(False).alias("asks")).withColumnRenamed("other", "i")
+    in_blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    crowds = placed.groupBy("b").agg(F.count("*").alias("n"), F.count_if("out").alias("n_out")).where("n > 1 AND n_out > 0").select("b", in_blocks("n").alias("blocks"), in_blocks("n_out").alias("asking"))
+    dealt = placed.join(crowds, "b")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["b", "i", "j", "a", "weight", "class_of", "changes", "asks"]
+    one = dealt.where("out").withColumn("i", F.pmod(F.hash("a"), "asking")).select("*", all_of("blocks").alias("j"), F.lit(True).alias("asks")).select(*columns)
+    two = dealt.withColumn("j", F.pmod(F.hash("a"), "blocks")).select("*", all_of("asking").alias("i"), F.lit(False).alias("asks")).select(*columns)
 
     def hold(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
@@ -227,7 +239,8 @@ def near_classes(
         found = links_between(*sides, similarity) if all(sides) else []
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    more = durable(one.unionByName(two).groupBy("b", "i", "j").applyInArrow(hold, "a bigint, b bigint"))
+    # dealt anew: the join's dealing by b would put all blocks of a leader into one task
+    more = durable(one.unionByName(two).repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(hold, "a bigint, b bigint"))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
