@@ -120,7 +120,58 @@ def test_matching_and_exceptions():
     made = lexicon.matcher()
     assert lexicon.features("scum", made)[0] == 4.0 and lexicon.features("scumble discum", made)[0] == 0.0
     assert lexicon.features("vequoir!", made)[0] == 3.0 and lexicon.features("pond scum", made)[0] == 0.0
-    assert lexicon.features("5CUM, and scum", made)[2] == 2
+    assert lexicon.features("5CUM, and scum", made)[:2] == (8.0, 4.0) and lexicon.features("5CUM, and scum", made)[3] == 2
+    assert lexicon.features("beyond scum", made)[0] == 4.0 and lexicon.features("pond scum, scum", made)[0] == 4.0
+    assert lexicon.features("pond scum " * 20_000 + "scum", made)[3] == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd AB1. é", max_size=80), st.dictionaries(st.text(alphabet="abcd", min_size=3, max_size=5), st.sampled_from([1.0, 2.0, 3.5])), st.dictionaries(st.text(alphabet="abcd", min_size=3, max_size=4), st.sampled_from([1.5, 2.5])))
+def test_automaton_finds_what_words_tell(text, words, beginnings):
+    weights = words | {f"{p}*": w for p, w in beginnings.items()}
+    lexicon = toxic_lexicon.Lexicon(weights)
+    plain = toxic_lexicon.features_by_words(text, {e: {0: w} for e, w in weights.items()}, 1)
+    assert list(lexicon.features(text, lexicon.matcher())[:3]) == pytest.approx(plain)
+
+
+def brute_entries(texts, support, ratio, odds):
+    """Entries and weights by plain counting, most outstanding first, relatives left out."""
+    import math
+
+    n = [sum(y == k for _, y in texts) for k in (0, 1)]
+    found = {}
+    for t, y in texts:
+        for e in toxic_lexicon.entries_of(toxic_lexicon.letter_runs(toxic_lexicon.fold(t))):
+            found.setdefault(e, [0, 0])[y] += 1
+    ranked = []
+    for e, (c, k) in found.items():
+        weight = math.log((k + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+        g = 2 * sum(v * math.log(v / ((c + k) * n[j] / sum(n))) for j, v in enumerate((c, k)) if v)
+        if k >= support and weight >= odds and g >= ratio:
+            ranked.append((-round(g, 9), -len(e), e, round(weight, 4)))
+    taken = {}
+    for _, _, e, weight in sorted(ranked):
+        stem = e.rstrip("*")
+        longer = any(o.rstrip("*").startswith(stem) for o in taken) and e != stem
+        if not longer and not any(o.endswith("*") and stem.startswith(o[:-1]) and len(o) - 1 < len(stem) + (e == stem) for o in taken):
+            taken[e] = weight
+    return taken
+
+
+def test_lexicon_against_brute_force():
+    import numpy as np
+
+    draw = random.Random(23)
+    stems = ["grukh", "blarg", "mofe", "the", "of", "river"]
+    texts = [(" ".join(draw.choice(stems[3 - 3 * y :]) + draw.choice(["", "a", "ok", "ix"]) for _ in range(12)), y) for y in draw.choices([0, 1], k=200)]
+    counts = {}
+    for t, y in texts:
+        for e in toxic_lexicon.entries_of(toxic_lexicon.letter_runs(t)):
+            counts.setdefault(e, [0, 0])[y] += 1
+    entries = sorted(counts)
+    n = [sum(y == k for _, y in texts) for k in (0, 1)]
+    made = toxic_lexicon.chosen(entries, np.array([counts[e][1] for e in entries]), np.array([counts[e][0] for e in entries]), n[1], n[0], 8.0, 1.0)
+    assert made == brute_entries(texts, 3, 8.0, 1.0) and made
 
 
 def test_toxicity_learns(spark):
