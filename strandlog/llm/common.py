@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +14,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    The cluster names the folder in spark.checkpoint.dir; only where none is set (tests) is a local one used.
+    Where neither is set, a session whose tasks all run in the driver's process gets a folder of its own; on a cluster this is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or f"/tmp/strandlog-checkpoints-{os.getpid()}")
+    import tempfile
+
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if place is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="strandlog-checkpoints-")
+        context.setCheckpointDir(place)
+    return place
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like the given one that is not taken; Spark does not tell upper from lower case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlog.llm.common import free_name
+
 DIMENSIONS = 1024
 ORDER = 3
 SEED = 7
-#: Prototypes are fitted on about so many documents at most, drawn by a hash of their text.
-TRAIN_DOCS = 20_000
-#: Prototypes of so many languages at most, those with the most documents.
-MOST_LANGUAGES = 1000
+#: A language's prototype is fitted on about so many distinct texts at most, drawn by a hash of the text.
+TRAIN_DOCS = 5_000
 #: Vectors of n-grams that a worker keeps.
 KEPT_NGRAMS = 32_768
 UNDETERMINED = "und"
@@ -97,19 +97,18 @@ class Profiler:
 
 
 def learn(docs: DataFrame, text: Column, lang: Column, use: Column, train_docs: int = TRAIN_DOCS, dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Prototypes by language, from rows where use holds and the language is known.
+    """Prototypes by language, from rows where use holds and the language is known. Equal texts of a language count once.
 
-    Above train_docs such rows, a share of them is drawn by a hash of the text. What reaches the driver is one number
-    for each language and dimension.
+    Of a language with more distinct texts than train_docs, a share of them is drawn by a hash of the text; every language
+    keeps a prototype at every size. What reaches the driver is one number for each language and dimension.
     """
     rows = docs.select(text.cast("string").alias("text"), lang.cast("string").alias("lang"), use.alias("use")).where("use AND lang IS NOT NULL AND text IS NOT NULL").drop("use")
-    counted = docs.where(use & lang.isNotNull()).groupBy(lang.cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    n = counted.agg(F.sum("n")).first()[0] or 0
-    common = [r["lang"] for r in counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    if len(common) == MOST_LANGUAGES:
-        rows = rows.where(F.col("lang").isin(common))
-    if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < F.lit(int((1 << 20) * train_docs / n)))
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    # one row a language
+    shares = F.broadcast(counted.select("lang", F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n")).alias("share")))
+    drawn = rows.join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = drawn.dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Profiler(dimensions, order, seed)
@@ -129,17 +128,22 @@ def learn(docs: DataFrame, text: Column, lang: Column, use: Column, train_docs:
     return {name: v / np.linalg.norm(v) for name, v in sorted(found.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED) -> DataFrame:
-    """The columns in keep, lang_pred and score of every row of docs.
+def identify(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), dimensions: int = DIMENSIONS, order: int = ORDER, seed: int = SEED,
+) -> DataFrame:
+    """The columns in keep, then the predicted language and the score under the names in out, of every row of docs.
 
     score is the cosine with the nearest prototype, 0 if negative; equal cosines go to the language first by name. A
-    null text or one without a letter gets "und" and 0. One pass, no shuffle; the prototypes travel with the task.
+    null text or one without a letter gets "und" and 0. Rows that repeat are predicted each. keep must not hold the names in
+    out; other columns may have any name. One pass, no shuffle; the prototypes travel with the task.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text_col]
+    if clash := {c.lower() for c in keep} & {c.lower() for c in out}:
+        raise ValueError(f"{sorted(clash)} are kept and made; give other names in out")
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dimensions)
-    source = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    source = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(free_name([*keep, *out], "text")))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Profiler(dimensions, order, seed)
@@ -156,7 +160,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 best.append(names[k])
                 score.append(float(min(1.0, max(0.0, near[k]))))
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*keep, *out])
 
     return source.mapInArrow(predict, schema)
 
@@ -166,8 +170,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Fits on the documents whose crc32(doc_id) mod 5 is not 0 and predicts all of them."""
-    use = ~F.coalesce(held_out(docs["doc_id"]), F.lit(False))
+    """doc_id, held_out, lang_pred, score: fits on the documents whose crc32(doc_id) mod 5 is not 0 and predicts all of them.
+
+    A document without an id is not held out and not learned from. Null and empty texts are "und". Other columns are not read."""
+    use = ~F.coalesce(held_out(docs["doc_id"]), F.lit(True))
     prototypes = learn(docs, docs["text"], docs["lang"], use)
     rows = docs.select("doc_id", "text", F.coalesce(held_out(docs["doc_id"]), F.lit(False)).alias("held_out"))
     return identify(rows, prototypes, keep=["doc_id", "held_out"])

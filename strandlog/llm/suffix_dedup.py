@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import byte_table, durable, mix64
+from strandlog.llm.common import byte_table, durable, free_name, mix64
 from strandlog.llm.shingles import powers
 
 LENGTH = 200
@@ -335,24 +335,25 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Columns stay as they are, n_chars follows the text where there is one. Null texts stay null.
     """
+    from pyspark.sql import types as T
+
     found = repeats(docs, id_col, text_col, length).where("n_removed > 0").select("text_sha256", "spans").dropDuplicates(["text_sha256"])
-    keyed = docs.withColumn("_sha", F.sha2(docs[text_col].cast("binary"), 256)).join(found.select(F.col("text_sha256").alias("_sha"), F.col("spans").alias("_spans")), "_sha", "left").drop("_sha")
+    sha, spans = free_name(docs.columns, "sha"), free_name(docs.columns, "spans")
+    keyed = docs.withColumn(sha, F.sha2(docs[text_col].cast("binary"), 256)).join(found.select(F.col("text_sha256").alias(sha), F.col("spans").alias(spans)), sha, "left")
     names = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, s in zip(batch.column(text_col), batch.column("_spans"), strict=True):
+            for t, s in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
                 text = t.as_py()
                 if text is not None and s.is_valid:
                     text = without(text.encode("utf-8", "surrogatepass"), np.frombuffer(s.as_py(), dtype="<i8").reshape(-1, 2)).decode("utf-8", "ignore")
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, text_col])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 2)), pa.array(texts, pa.string())], names=[*names, text_col])
 
-    schema = T.StructType([docs.schema[c] for c in [*names, text_col]])
-    out = keyed.select(*names, F.col(text_col).cast("string").alias(text_col), "_spans").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in [*names, text_col]])
+    out = keyed.select(*names, F.col(text_col).cast("string").alias(text_col), spans).mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

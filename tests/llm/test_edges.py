@@ -18,7 +18,7 @@ LONG = "word another third " * 20_000
 ROWS = [(1, None, "en", "a"), (2, "", None, "a"), (3, "one", "de", None), (4, LONG, "en", "b"), (4, LONG, "en", "b"), (None, "no id here", "en", "b"), (7, " \n\t ", None, None), (8, "ünïcode ▁ \u0000 🙂", "fr", "c")]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 #: Names that the operators use inside.
-CLASH = ("id", "key", "score", "text_a", "_part", "bands", "topic", "tokens", "n_bytes", "ids", "label", "weight")
+CLASH = ("id", "key", "score", "text_a", "_part", "bands", "topic", "tokens", "n_bytes", "ids", "label", "weight", "lang_pred", "_sha", "_spans", "_body", "_id", "held", "_text", "_hash", "h", "fold", "prob", "_source", "sampled", "residual", "N_Words")
 
 
 def labels_of(docs):
@@ -51,6 +51,32 @@ def test_conversations(spark):
     assert quote_links(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_stages_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"some words of text number {k} and more of it " * 9, "en", "a", 3) for k in range(40)], SCHEMA + ", n_chars bigint")
+    for c in CLASH:
+        docs = docs.withColumn(c, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.where("score <> 'x' OR _sha <> 'x' OR _body <> 'x' OR weight <> 'x'").count() == 0
+    assert corpus_pipeline.encoding(spark, docs, str(tmp_path)).count() == 40
+
+
+def test_stages_with_nulls_repeats_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = SCHEMA + ", n_chars bigint"
+    rows = [(*r, len(r[1] or "")) for r in ROWS] + [(4, "quite another text under an id that is there twice, with words enough", "en", "b", 9)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame(rows, schema), str(tmp_path)).count() <= len(rows)
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    # of the two equal rows one stays, the other text under their id stays too, and so does the row without an id
+    assert sorted(r["text"][:5] for r in kept.where("doc_id = 4").collect()) == ["quite", "word "] and kept.where("doc_id IS NULL").count() == 1
+
+
 def test_stage_forms(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     kept = cut_repeats(docs)

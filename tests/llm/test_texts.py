@@ -329,7 +329,17 @@ def test_raking_as_in_sql(spark, tmp_path, monkeypatch):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     expected = sorted(map(repr, c.sql(raking.oracle()).fetchall()))
     assert sorted(repr(tuple(r)) for r in raking.mix(docs).collect()) == expected
-    monkeypatch.setattr(raking, "ONE_TASK_CELLS", 0)
-    near = {r["doc_id"]: r["prob"] for r in raking.mix(docs, rounds=2).collect()}
-    monkeypatch.setattr(raking, "ONE_TASK_CELLS", 100_000)
-    assert all(abs(r["prob"] - near[r["doc_id"]]) < 1e-5 for r in raking.mix(docs, rounds=2).collect())
+    before = {r["doc_id"]: r for r in raking.mix(docs).collect()}
+    few = {r["doc_id"]: r for r in raking.mix(docs, rounds=3).collect()}
+    monkeypatch.setattr(raking, "PARTITION_CELLS", 3)
+    assert {r["doc_id"]: r for r in raking.mix(docs, rounds=3).collect()} == few
+    monkeypatch.undo()
+    kept = raking.mixed_documents(docs.withColumn("_source", F.lit(1)).withColumn("prob", F.lit(2)))
+    assert kept.columns == [*docs.columns, "_source", "prob"] and {r["doc_id"] for r in kept.collect()} == {k for k, r in before.items() if r["sampled"]}
+
+
+def test_raking_tells_what_it_misses(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s1", "en"), (2, "a b c", "s2", "de")], "doc_id bigint, text string, source string, lang string")
+    # s1 is en and s2 is de, so these contradict each other
+    targets = {"source": spark.createDataFrame([("s1", 0.9), ("s2", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("en", 0.1), ("de", 0.9)], "lang string, share double")}
+    assert raking.mix(docs, targets=targets).first()["residual"] > 0.5 and raking.mix(docs).first()["residual"] == 0
