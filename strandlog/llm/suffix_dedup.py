@@ -1,17 +1,18 @@
 """Removal of byte strings that occur twice, by distributed prefix doubling over thinned positions.
 
-A position's rank at offset h is a name of the h bytes that start there; the rank at 2h is the pair of the ranks at h
-of the position and of the one h further on. Ranks are 64-bit names made from the bytes, so equal strings have equal
-ranks wherever they stand. A global round sorts ranks and drops every position whose rank is unique:
+A position's rank at offset h is a name of the h bytes that start there; ranks are made from the bytes, so equal strings
+have equal ranks wherever they stand. A global round sorts ranks and drops every position whose rank is unique:
 
 1. At half the threshold (100 bytes), only positions are ranked whose rank is the least within a stretch of 101. Any
    string of 200 bytes holds such a position, chosen by its bytes alone, and a string that occurs twice holds it twice.
    So positions can be thinned to two in a hundred here.
-2. At the threshold, the rank pairs of all positions are sorted whose string holds a survivor of the first round.
+2. At the threshold, all positions are ranked whose string holds a survivor of the first round: by the pair of the ranks
+   at half of the position and of the one half further on, and by a second name of the whole string, 128 bits together.
 
-What stays are the positions whose string of 200 bytes starts elsewhere too. Ranks travel packed by the thousand, dealt
-by their leading bits; before the second round texts are put beside their copies, so that a group sends a rank once. The survivors of the first round come back as a bitmap of bounded size; a false hit in it only
-sends positions to the second round that this then drops.
+What stays are the positions whose string of 200 bytes starts elsewhere too. Ranks travel packed, dealt by their leading
+bits; before the second round texts are put beside their copies, so that a group sends a rank once. The survivors of the
+first round come back as a bitmap of bounded size; a false hit in it only sends positions to the second round that this then
+drops. Texts are ranked in pieces, so a text may be as long as a row can be.
 """
 
 from __future__ import annotations
@@ -30,14 +31,17 @@ from strandlog.llm.common import byte_table, durable, free_name, mix64
 from strandlog.llm.shingles import powers
 
 LENGTH = 200
-#: Ranks of one bucket are sorted together in a task; about so many are meant for one.
-BUCKET_RANKS = 1 << 18
+#: Ranks of one bucket are sorted together in a task; about so many are meant for one, and up to sixteen times as many where
+#: there are over MANY_BUCKETS, so that a pack still holds several ranks of a bucket.
+BUCKET_RANKS, MANY_BUCKETS = 1 << 18, 1 << 16
 #: The bitmap has eight bits or more for each thinned position, up to this many (128 MB).
 MOST_BITS = 1 << 30
 #: Texts are packed into groups of about so many bytes.
 GROUP_BYTES = 1 << 22
+#: Positions of a text that are ranked at once, and ranks that are packed at once.
+PIECE, PART_RANKS = 1 << 22, 1 << 21
 
-_TABLE = byte_table(3)
+_TABLE, _SECOND = byte_table(3), byte_table(5)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,19 +54,25 @@ def sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def half_ranks(raw: np.ndarray, half: int) -> np.ndarray:
-    """Rank at half the threshold of every position: a polynomial hash, doubled from its half where that is even."""
+def window_hashes(raw: np.ndarray, length: int, table: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the string of the given length at every position."""
     n = len(raw)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[raw] * up[:n], out=sums[1:])
-    return mix64((sums[half:] - sums[:-half]) * down[: n - half + 1])
+    np.cumsum(table[raw] * up[:n], out=sums[1:])
+    return mix64((sums[length:] - sums[:-length]) * down[: n - length + 1])
+
+
+def half_ranks(raw: np.ndarray, half: int) -> np.ndarray:
+    """Rank at half the threshold of every position."""
+    return window_hashes(raw, half, _TABLE)
 
 
-def full_ranks(halves: np.ndarray, half: int, length: int) -> np.ndarray:
-    """Rank at the threshold: the pair of the half ranks at a position and length - half further on."""
-    step = length - half
-    return mix64(halves[:-step] * _PAIR + halves[step:])
+def full_names(raw: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of the string of the given length at every position: of the half ranks at it and at length - half further on,
+    and of the whole string by another table."""
+    halves, step = half_ranks(raw, half), length - half
+    return mix64(halves[:-step] * _PAIR + halves[step:]), window_hashes(raw, length, _SECOND)
 
 
 def thinned(halves: np.ndarray, half: int, length: int) -> np.ndarray:
@@ -87,18 +97,56 @@ def places(ranks: np.ndarray, bucket_bits: int, map_bits: int) -> tuple[np.ndarr
     return first.astype(np.int64), ((first & ~inner) | (ranks & inner)).astype(np.int64)
 
 
-def candidates(halves: np.ndarray, half: int, length: int, bits: np.ndarray, bucket_bits: int, map_bits: int) -> np.ndarray:
-    """Start positions of the strings that hold a thinned position whose rank is in the bitmap."""
-    at = thinned(halves, half, length)
-    if not len(at):
-        return at
-    one, two = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1 for p in places(spread(halves[at]), bucket_bits, map_bits))
-    at = at[one & two]
-    starts = len(halves) - (length - half)
-    count = np.zeros(starts + 1, dtype=np.int32)
-    np.add.at(count, np.maximum(at - (length - half), 0), 1)
-    np.add.at(count, np.minimum(at + 1, starts), -1)
-    return np.flatnonzero(np.cumsum(count)[:-1] > 0)
+def thinned_ranks(raw: np.ndarray, half: int, length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Thinned positions of a text, their half ranks and the least half rank, for one piece of positions after the other."""
+    reach = length - half  # a position is chosen by the stretches that hold it
+    for begin in range(0, max(0, len(raw) - half + 1), piece):
+        low = max(0, begin - reach)
+        part = raw[low : begin + piece + reach + half - 1]
+        if len(part) < length:  # the text's last positions: no string of this length begins or ends in them alone
+            part = raw[max(0, len(raw) - length) :]
+            low = len(raw) - len(part)
+        h = half_ranks(part, half)
+        at = thinned(h, half, length)
+        at = at[(at + low >= begin) & (at + low < begin + piece)]
+        yield at + low, h[at], int(h.min())
+
+
+def candidate_runs(raw: np.ndarray, half: int, length: int, bits: np.ndarray, bucket_bits: int, map_bits: int, piece: int) -> tuple[np.ndarray, int]:
+    """[(first, last + 1)] of the runs of start positions whose string holds a thinned position with its rank in the bitmap;
+    the least half rank."""
+    reach, starts = length - half, len(raw) - length + 1
+    hits, least = [], 1 << 64
+    for at, ranks, low in thinned_ranks(raw, half, length, piece):
+        one, two = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1 for p in places(spread(ranks), bucket_bits, map_bits))
+        hits.append(at[one & two])
+        least = min(least, low)
+    found = np.concatenate(hits) if hits else np.empty(0, dtype=np.int64)
+    if not len(found):
+        return np.empty((0, 2), dtype=np.int64), least
+    first, end = np.maximum(found - reach, 0), np.minimum(found + 1, starts)
+    fresh = np.concatenate(([True], first[1:] > end[:-1]))
+    last = np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(found) - 1]))
+    return np.stack([first[fresh], end[last]], axis=1), least
+
+
+def named_starts(raw: np.ndarray, runs: np.ndarray, half: int, length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start positions, their two names) of the runs of a text, for one piece after the other."""
+    for first, end in runs.tolist():
+        for begin in range(first, end, piece):
+            stop = min(end, begin + piece)
+            yield np.arange(begin, stop), *full_names(raw[begin : stop + length - 1], half, length)
+
+
+def distinct_names(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, how often each comes, and the place of every given pair among them."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    place = np.empty(len(a), dtype=np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return a[fresh], b[fresh], np.bincount(place, minlength=int(fresh.sum())), place
 
 
 def packed(ranks: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
@@ -127,6 +175,35 @@ def repeated(ranks: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([r[t], r[1:][same]]))
 
 
+def packed_names(one: np.ndarray, two: np.ndarray, counts: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """The same of distinct pairs of names: first those of one, then those of two."""
+    bucket = (one >> np.uint64(64 - bucket_bits)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(one)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), one[a:b].tobytes() + two[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()
+
+
+def repeated_names(packs: list[bytes], twice: list[bytes]) -> list[bytes]:
+    """For each pack, a bit for each name that stands in another pack too or came twice in its own."""
+    parts = [np.frombuffer(p, dtype=np.uint64).reshape(2, -1) for p in packs]
+    own = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=p.shape[1]).astype(bool) for t, p in zip(twice, parts, strict=True)])
+    names = np.concatenate(parts, axis=1)
+    _, _, counts, place = distinct_names(names[0], names[1])
+    again = counts > 1
+    again[place[own]] = True
+    return [np.packbits(x).tobytes() for x in np.split(again[place], np.cumsum([p.shape[1] for p in parts])[:-1])]
+
+
+def joined_spans(spans: list[np.ndarray]) -> np.ndarray:
+    """Spans in order, those that touch or overlap as one."""
+    found = np.concatenate(spans) if spans else np.empty((0, 2), dtype=np.int64)
+    if len(found) < 2:
+        return found
+    fresh = np.concatenate(([True], found[1:, 0] > np.maximum.accumulate(found[:, 1])[:-1]))
+    last = np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(found) - 1]))
+    return np.stack([found[fresh, 0], np.maximum.accumulate(found[:, 1])[last]], axis=1)
+
+
 def removed_spans(starts: np.ndarray, length: int) -> np.ndarray:
     """[(begin, end)] of the maximal runs of bytes that the strings at the sorted starts cover."""
     if not len(starts):
@@ -145,6 +222,12 @@ def without(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
+def bucket_bits_of(ranks: float) -> int:
+    fine = pow2_at_least(ranks / BUCKET_RANKS)
+    many = pow2_at_least(MANY_BUCKETS)
+    return max(4, fine if fine <= many else max(many, fine - 4))
+
+
 def pow2_at_least(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
@@ -163,8 +246,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     half = length // 2
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     sized = source.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    thin_bits = pow2_at_least(2 * sized / (length - half + 1) / BUCKET_RANKS)
-    bucket_bits = max(4, thin_bits)
+    bucket_bits = bucket_bits_of(2 * sized / (length - half + 1))
     map_bits = max(bucket_bits + 3, min(pow2_at_least(16 * sized / (length - half + 1)), pow2_at_least(MOST_BITS)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,12 +264,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 raw = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 if len(raw) < length:
                     continue
-                h = half_ranks(raw, half)
-                found.append(spread(h[thinned(h, half, length)]))
-                size += len(found[-1])
-                if size > 1 << 21:
-                    yield from give()
-                    found, size = [], 0
+                for _, ranks, _ in thinned_ranks(raw, half, length, PIECE):
+                    found.append(spread(ranks))
+                    size += len(ranks)
+                    if size > PART_RANKS:
+                        yield from give()
+                        found, size = [], 0
         yield from give()
 
     def first_round(table: pa.Table) -> pa.Table:
@@ -223,9 +305,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     raw = t.as_py().encode("utf-8", "surrogatepass")
                     starts, route = 0, 0 if i is None else i
                     if len(raw) >= length:
-                        h = half_ranks(np.frombuffer(raw, dtype=np.uint8), half)
-                        starts = len(candidates(h, half, length, bits, bucket_bits, map_bits))
-                        route = int(h.min().view(np.int64))
+                        runs, least = candidate_runs(np.frombuffer(raw, dtype=np.uint8), half, length, bits, bucket_bits, map_bits, PIECE)
+                        starts, route = int((runs[:, 1] - runs[:, 0]).sum()), least - (1 << 63)
                     rows.append((i, len(raw), hashlib.sha256(raw).hexdigest(), route, starts, zip_.compress(raw) if starts else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), told, strict=True)], schema=told)
 
@@ -265,16 +346,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     sorted_out = durable(routed.mapInArrow(pack, "id bigint, n_bytes bigint, sha string, grp string, n_starts bigint, ids binary, sizes binary, raw binary"))
     groups = sorted_out.where("grp IS NOT NULL")
     starts = groups.agg(F.sum("n_starts")).first()[0] or 0
-    full_bits = max(4, pow2_at_least(starts / BUCKET_RANKS))
+    full_bits = bucket_bits_of(starts)
 
-    def ranks_of(raws: bytes, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(candidate starts, their ranks) of each text of a group."""
-        at = 0
-        for n in sizes.tolist():
-            h = half_ranks(np.frombuffer(raws, dtype=np.uint8, count=n, offset=at), half)
+    def parts_of(raws: bytes, sizes: np.ndarray) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """(text, candidate starts, their names) of a group's texts, as many at a time as are packed together."""
+        at, held, size = 0, [], 0
+        for k, n in enumerate(sizes.tolist()):
+            raw = np.frombuffer(raws, dtype=np.uint8, count=n, offset=at)
             at += n
-            c = candidates(h, half, length, shared.value, bucket_bits, map_bits)
-            yield c, full_ranks(h, half, length)[c]
+            runs, _ = candidate_runs(raw, half, length, shared.value, bucket_bits, map_bits, PIECE)
+            for starts, one, two in named_starts(raw, runs, half, length, PART_RANKS):
+                held.append((k, starts, one, two))
+                size += len(starts)
+                if size >= PART_RANKS:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def names_of(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return distinct_names(np.concatenate([p[2] for p in part]), np.concatenate([p[3] for p in part]))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -282,39 +373,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for grp, sizes, raw in zip(*(batch.column(k) for k in range(3)), strict=True):
-                found = [r for _, r in ranks_of(unzip.decompress(raw.as_py()), np.frombuffer(sizes.as_py(), dtype=np.int64))]
-                b, r, t = zip(*packed(np.concatenate(found), full_bits), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([grp.as_py()] * len(b), pa.string()), pa.array(b, pa.int64()), pa.array(r, pa.binary()), pa.array(t, pa.binary())], names=["grp", "bucket", "ranks", "twice"])
+                for no, part in enumerate(parts_of(unzip.decompress(raw.as_py()), np.frombuffer(sizes.as_py(), dtype=np.int64))):
+                    one, two, counts, _ = names_of(part)
+                    b, r, t = zip(*packed_names(one, two, counts, full_bits), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([grp.as_py()] * len(b), pa.string()), pa.array([no] * len(b), pa.int64()), pa.array(b, pa.int64()), pa.array(r, pa.binary()), pa.array(t, pa.binary())], names=["grp", "part", "bucket", "names", "twice"])
 
     def second_round(table: pa.Table) -> pa.Table:
-        ranks, twice, lengths = unpacked(table.column("ranks").to_pylist(), table.column("twice").to_pylist())
-        again = repeated(ranks, twice)
-        stay = again[np.minimum(np.searchsorted(again, ranks), len(again) - 1)] == ranks if len(again) else np.zeros(len(ranks), dtype=bool)
-        flags = [np.packbits(x).tobytes() for x in np.split(stay, np.cumsum(lengths)[:-1])]
-        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "stay": pa.array(flags, pa.binary())})
+        flags = repeated_names(table.column("names").to_pylist(), table.column("twice").to_pylist())
+        return pa.table({"grp": table.column("grp"), "part": table.column("part"), "bucket": table.column("bucket"), "stay": pa.array(flags, pa.binary())})
 
     named = groups.select("grp", "sizes", "raw")
-    judged = named.mapInArrow(third, "grp string, bucket bigint, ranks binary, twice binary").groupBy("bucket").applyInArrow(second_round, "grp string, bucket bigint, stay binary")
+    judged = named.mapInArrow(third, "grp string, part bigint, bucket bigint, names binary, twice binary").groupBy("bucket").applyInArrow(second_round, "grp string, part bigint, bucket bigint, stay binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
         columns: list[list] = [[] for _ in RESULT]
+        told: dict[int, list[tuple[int, bytes]]] = {}
+        for no, b, flags in zip(*(right.column(c).to_pylist() for c in ("part", "bucket", "stay")), strict=True):
+            told.setdefault(no, []).append((b, flags))
         for ids_, sizes_, raw_ in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "raw")), strict=True):
             sizes = np.frombuffer(sizes_, dtype=np.int64)
             raws = zstandard.ZstdDecompressor().decompress(raw_)
-            found = list(ranks_of(raws, sizes))
-            distinct = np.unique(np.concatenate([r for _, r in found]))
-            bucket = (distinct >> np.uint64(64 - full_bits)).astype(np.int64)
-            stay = np.zeros(len(distinct), dtype=bool)
-            for b, flags in zip(right.column("bucket").to_pylist(), right.column("stay").to_pylist(), strict=True):
-                lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, side="right")
-                stay[lo:hi] = np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=hi - lo).astype(bool)
+            gone: list[list[np.ndarray]] = [[] for _ in sizes]
+            for no, part in enumerate(parts_of(raws, sizes)):
+                one, _, _, place = names_of(part)
+                bucket = (one >> np.uint64(64 - full_bits)).astype(np.int64)
+                stay = np.zeros(len(one), dtype=bool)
+                for b, flags in told[no]:
+                    lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, side="right")
+                    stay[lo:hi] = np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=hi - lo).astype(bool)
+                cuts = np.cumsum([len(p[1]) for p in part])[:-1]
+                for (k, starts, _, _), fine in zip(part, np.split(stay[place], cuts), strict=True):
+                    gone[k].append(removed_spans(starts[fine], length))
             ids, absent, at = np.frombuffer(ids_, dtype=np.int64, count=len(sizes)).tolist(), ids_[8 * len(sizes) :], 0
-            for k, (n, (c, r)) in enumerate(zip(sizes.tolist(), found, strict=True)):
+            for k, n in enumerate(sizes.tolist()):
                 raw = raws[at : at + n]
                 at += n
-                spans = removed_spans(c[stay[np.searchsorted(distinct, r)]], length)
+                spans = joined_spans(gone[k])
                 row = (None if absent[k] else ids[k], n, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(without(raw, spans)).hexdigest(), hashlib.sha256(raw).hexdigest(), spans.astype("<i8").tobytes())
                 for column, v in zip(columns, row, strict=True):
                     column.append(v)

@@ -104,15 +104,52 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("piece", [1 << 22, 333])
+def test_repeats(spark, monkeypatch, piece):
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "PART_RANKS", piece // 2)
     texts = [*corpus(7), "ab" * 300, "ab" * 99 + "é" * 200, "x" * 199, "x" * 200, "é" * 100]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
     found = {r["doc_id"]: tuple(r)[1:] for r in repeats_digest(docs).collect()}
     assert [found[k] for k in range(len(texts))] == brute_repeats(texts, 200)
 
 
+def test_pieces_choose_the_same_positions():
+    draw = np.random.default_rng(3)
+    for n in (200, 201, 299, 300, 1000, 1999, 2000, 2345):
+        raw = draw.integers(97, 100, n).astype(np.uint8)
+        h = suffix_dedup.half_ranks(raw, 100)
+        whole = suffix_dedup.thinned(h, 100, 200)
+        for piece in (1, 50, 333, 1000, 5000):
+            parts = list(suffix_dedup.thinned_ranks(raw, 100, 200, piece))
+            assert np.concatenate([p[0] for p in parts]).tolist() == whole.tolist()
+            assert (np.concatenate([p[1] for p in parts]) == h[whole]).all() and min(p[2] for p in parts) == h.min()
+
+
+def test_names_that_share_a_half():
+    one, two = np.array([5, 5, 5, 7], dtype=np.uint64), np.array([1, 2, 1, 1], dtype=np.uint64)
+    a, b, counts, place = suffix_dedup.distinct_names(one, two)
+    assert (a.tolist(), b.tolist(), counts.tolist(), place.tolist()) == ([5, 5, 7], [1, 2, 1], [2, 1, 1], [0, 1, 0, 2])
+    packs = [np.array(x, dtype=np.uint64).tobytes() for x in ([5, 7, 1, 1], [5, 8, 2, 1], [7, 9, 1, 1])]
+    flags = suffix_dedup.repeated_names(packs, [b"\x00", b"\x40", b"\x00"])
+    assert [np.unpackbits(np.frombuffer(f, dtype=np.uint8), count=2).tolist() for f in flags] == [[0, 1], [0, 1], [1, 0]]
+
+
+def test_a_very_long_text(spark):
+    draw = np.random.default_rng(4)
+    passage = "".join(map(chr, draw.integers(97, 123, 5_000)))
+    long = "".join(map(chr, draw.integers(97, 123, 30_000_000)))
+    rows = [(1, long[:20_000_000] + passage + long[20_000_000:]), (2, f"a {passage} b"), (3, None)]
+    found = {r["doc_id"]: r for r in repeats_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[1]["n_bytes"] == 30_005_000 and (found[1]["n_removed"], found[1]["n_spans"], found[2]["n_removed"]) == (5_000, 1, 5_000)
+    assert found[1]["kept_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_spans():
+    parts = [removed_spans(np.array(x), 10) for x in ([0, 3], [10, 21], [22, 40])]
+    assert suffix_dedup.joined_spans(parts).tolist() == [[0, 20], [21, 32], [40, 50]]
+
     assert removed_spans(np.array([0, 3, 10, 21]), 10).tolist() == [[0, 20], [21, 31]]
     assert removed_spans(np.array([], dtype=np.int64), 10).tolist() == []
 
