@@ -1,9 +1,10 @@
 """Quotation linking: replies are joined to the messages that they quote, by DataFrame functions only.
 
-A line's quote level is the number of > marks before it. Runs of lines at one level are passages; a quoted passage is
-looked up, by the hash of its words in lower case, among the passages that other messages wrote themselves. A message
-replies to the message of its shallowest quote that is found. Conversations come out as messages without quotes, ordered
-by their depth in the reply tree and their turn.
+A line's quote level is the number of > marks before it; after an "Original Message" line every line is one level deeper,
+and its From, Sent, To and Subject lines belong to the quote, as does the "On ... wrote:" line before a quote. Runs of lines
+at one level are passages; a quoted passage is looked up, by the hash of its words in lower case, among the passages that
+other messages wrote themselves. A message replies to the message of its shallowest quote that is found. Conversations come
+out as messages without quotes, thread by thread, ordered by their depth in the reply tree and their turn.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from strandlog.llm.common import durable
 #: Units of fewer words are too common to link messages of different conversations, or to stand for a longer passage.
 LEAST_WORDS = 3
 _MARKS = r"^((?:[ \t]*>)+)"
+_ORIGINAL = r"(?i)^-{2,} *original message *-{2,}$"
+_HEADER = r"(?i)^(from|sent|date|to|cc|subject): "
+_INTRODUCTION = r"(?i)^on .+ wrote:$"
 
 
 def level_of(line: Column) -> Column:
@@ -28,18 +32,49 @@ def body_of(line: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Array of (level, body) of a text: neighbouring lines of one level together; a blank line ends a passage."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r"), lambda x: F.struct(level_of(x).cast("int").alias("level"), body_of(x).alias("body")))
-    start = F.array().cast("array<struct<level:int,body:string,open:boolean>>")
+    """Array of (level, body) of a text: neighbouring lines of one level together; a blank line ends a passage.
 
-    def step(found: Column, line: Column) -> Column:
-        last = F.element_at(found, -1)
-        fresh = F.array(F.struct(line["level"].alias("level"), line["body"].alias("body"), (line["body"] != "").alias("open")))
-        longer = F.array(F.struct(line["level"].alias("level"), F.concat_ws("\n", last["body"], line["body"]).alias("body"), F.lit(True).alias("open")))
-        joins = (F.size(found) > 0) & F.coalesce(last["open"] & (last["level"] == line["level"]) & (line["body"] != ""), F.lit(False))
-        return F.when(joins, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), longer)).otherwise(F.concat(found, fresh))
+    The steps are lambdas over one array each, so that nothing is computed again for each line; the time is in proportion to
+    the lines but for the "Original Message" lines before each.
+    """
+    # passages are put together in a string between marks; the marks that stand in a text are written in another way there
+    coded = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))
+    plain = lambda t: F.replace(F.replace(t, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02"))
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    lines = F.transform(F.split(coded, "\r\n|\n|\r"), lambda x: F.struct(level_of(x).cast("int").alias("level"), body_of(x).alias("body")))
+
+    def deeper(z: Column) -> Column:
+        cuts = F.filter(F.transform(z, lambda x, k: F.when(x["body"].rlike(_ORIGINAL), k)), lambda k: k.isNotNull())
+
+        def line(cuts: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                above = F.size(F.filter(cuts, lambda c: c < k))
+                gone = x["body"].rlike(_ORIGINAL) | ((above > 0) & x["body"].rlike(_HEADER))
+                return F.struct((x["level"] + above).alias("level"), F.when(gone, "").otherwise(x["body"]).alias("body"))
+
+            return F.transform(z, one)
+
+        return once(cuts, line)
+
+    def without_introductions(z: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            next_, second = F.get(z, k + 1), F.get(z, k + 2)
+            quote = (next_["level"] > x["level"]) | ((next_["body"] == "") & (second["level"] > x["level"]))
+            return F.struct(x["level"].alias("level"), F.when(x["body"].rlike(_INTRODUCTION) & F.coalesce(quote, F.lit(False)), "").otherwise(x["body"]).alias("body"))
+
+        return F.transform(z, one)
+
+    def joined(z: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            last = F.get(z, k - 1)
+            goes_on = F.coalesce((last["level"] == x["level"]) & (last["body"] != ""), F.lit(False))
+            return F.when(x["body"] == "", "").when(goes_on, F.concat(F.lit("\n"), x["body"])).otherwise(F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit(":"), x["body"]))
+
+        return F.array_join(F.transform(z, one), "")
 
-    return F.filter(F.aggregate(lines, start, step), lambda p: p["body"] != "")
+    marked = F.filter(F.split(once(once(once(lines, deeper), without_introductions), joined), "\x01"), lambda p: p != "")
+    number = lambda p: F.substring_index(p, ":", 1)
+    return F.transform(marked, lambda p: F.struct(number(p).cast("int").alias("level"), plain(F.substring(p, F.length(number(p)) + 2, F.length(p))).alias("body")))
 
 
 def units(body: Column) -> Column:
@@ -110,14 +145,15 @@ def reply_trees(links: DataFrame) -> DataFrame:
 
 
 def conversations_without_quotes(messages: DataFrame) -> DataFrame:
-    """The columns of quote_links and place: each conversation's messages in reply order, from 1. A message comes after
-    the one it replies to; messages at one depth keep their turns' order.
+    """The columns of quote_links and place: each conversation's messages in reply order, from 1. The messages of a thread
+    stand together, threads in the order of their first messages' turns; a message comes after the one it replies to, and
+    messages at one depth keep their turns' order.
 
     Conversations are cut into ranges of the order, so a long one is sorted by many tasks. A row's place is its place in
     its range and the sizes of its conversation's parts in the ranges before.
     """
     linked = quote_links(messages)
-    order = [F.col("conv_id"), F.col("depth"), F.col("turn"), F.col("role"), F.xxhash64("text")]
+    order = [F.col("conv_id"), F.col("root_turn"), F.col("depth"), F.col("turn"), F.col("role"), F.xxhash64("text")]
     n = max(1, int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = durable(linked.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     parts = ranged.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))

@@ -277,7 +277,7 @@ def test_quotes(spark):
     link = {k: (r["parent_conv"], r["parent_turn"], r["root_turn"], r["depth"]) for k, r in found.items()}
     assert link == {(1, 0): (None, None, 0, 0), (1, 1): (1, 0, 0, 1), (1, 2): (1, 1, 0, 2), (1, 3): (None, None, 3, 0), (2, 0): (1, 2, 0, 0), (2, 1): (None, None, 1, 0)}
     assert found[1, 2]["text"] == "third says so" and found[1, 2]["n_quotes"] == 2 and found[2, 1]["n_linked"] == 0
-    assert [r["turn"] for r in conversations_without_quotes(df).where("conv_id = 1").orderBy("place").collect()] == [0, 3, 1, 2]
+    assert [r["turn"] for r in conversations_without_quotes(df).where("conv_id = 1").orderBy("place").collect()] == [0, 1, 2, 3]  # 0 to 2 are one thread
 
 
 def test_reply_order_is_registered(spark, tmp_path):
@@ -288,10 +288,10 @@ def test_reply_order_is_registered(spark, tmp_path):
     found = registry.queries()["op4_quote_links"](spark, str(tmp_path)).collect()
     by = {}
     for r in found:
-        by.setdefault(r["conv_id"], []).append((r["depth"], r["turn"], r["place"]))
+        by.setdefault(r["conv_id"], []).append((r["root_turn"] or 0, r["depth"], r["turn"], r["place"]))
         assert r["root_conv"] == r["conv_id"]
-    assert len(found) == len(rows) and max(d for d, _, _ in by[1]) > 2
-    assert all([p for _, _, p in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+    assert len(found) == len(rows) and max(d for _, d, _, _ in by[1]) > 2
+    assert all([p for *_, p in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
 
 
 def test_quotes_of_parts(spark):
@@ -307,6 +307,110 @@ def test_quotes_of_parts(spark):
     assert {r["turn"]: r["n_linked"] for r in found if r["conv_id"] == 1} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def brute_passages(text):
+    """Level and body of the passages of a text, line by line."""
+    lines, cuts = [], 0
+    for x in re.split("\r\n|\n|\r", text):
+        marks = re.match(r"((?:[ \t]*>)+)", x)
+        body = x[marks.end() :] if marks else x
+        level, body = (marks.group().count(">") if marks else 0) + cuts, body.strip(" ")
+        if re.fullmatch(r"-{2,} *original message *-{2,}", body, re.I):
+            cuts, body = cuts + 1, ""
+        elif cuts and re.match("(from|sent|date|to|cc|subject): ", body, re.I):
+            body = ""
+        lines.append([level, body])
+    shown = []
+    for k, (level, body) in enumerate(lines):
+        after = [x for x in lines[k + 1 : k + 3]]
+        quote = after and (after[0][0] > level or (after[0][1] == "" and len(after) > 1 and after[1][0] > level))
+        shown.append((level, "" if quote and re.fullmatch("on .+ wrote:", body, re.I) else body))
+    found, last = [], (0, "")
+    for level, body in shown:
+        if body and last[1] and last[0] == level:
+            found[-1] = (level, f"{found[-1][1]}\n{body}")
+        elif body:
+            found.append((level, body))
+        last = (level, body)
+    return found
+
+
+LINES = ["", " ", "some words here", "yes please", "> quoted words here", ">> a deeper one", " > > as deep", "On Monday Ann wrote:", "> On Monday Ben wrote:", "-----Original Message-----", "From: Ann", "Subject: it", "\x01 odd \x02a mark", "a:b"]
+
+
+def test_passages_against_brute_force(spark):
+    from strandlog.llm.quote_links import passages
+
+    draw = random.Random(24)
+    texts = ["\n".join(draw.choices(LINES, k=draw.randrange(0, 12))) for _ in range(400)]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", passages(F.col("t")).alias("p")).collect()
+    assert [[tuple(p) for p in r["p"]] for r in sorted(found)] == [brute_passages(t) for t in texts]
+
+
+def brute_links(rows):
+    """(conv_id, turn) to (parent conversation, parent turn, links), by looking every unit of every quote up everywhere."""
+    squeezed = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    units = lambda body: list(dict.fromkeys([body, *body.split("\n"), *re.split(r"(?<=[.!?])\s+", body.replace("\n", " "))]))
+    wrote = {}
+    for c, t, _, text in rows:
+        for level, body in brute_passages(text):
+            if level == 0:
+                for u in units(body):
+                    of = wrote.setdefault(squeezed(u), {})
+                    of[c] = min(t, of.get(c, t))
+    out = {}
+    for c, t, _, text in rows:
+        best, linked = [], 0
+        for at, (level, body) in enumerate(brute_passages(text)):
+            hits = []
+            for k, u in enumerate(units(body) if level else []):
+                words = len(re.split(r"\s+", u))
+                if k and words < 3:
+                    continue
+                of = wrote.get(squeezed(u), {})
+                if of.get(c, t) < t:
+                    hits.append((-len(u), 0, k, (c, of[c])))
+                elif words >= 3 and (others := sorted(x for x in of.items() if x[0] != c)):
+                    hits.append((-len(u), 1, k, others[0]))
+            if hits:
+                linked += 1
+                longest = min(hits)
+                best.append((longest[1], level, at, longest[3]))
+        out[c, t] = (*min(best)[3], linked) if best else (None, None, 0)
+    return out
+
+
+def test_links_against_brute_force(spark):
+    """Threads with nested, trimmed, short and introduced quotes, within and across conversations."""
+    draw = random.Random(25)
+    word = lambda: draw.choice(["tea", "rain", "stone", "light", "river", "song", "yes", "no", "please", "late"])
+    sentence = lambda: " ".join(word() for _ in range(draw.randrange(1, 7))).capitalize() + draw.choice([".", "!", "?"])
+    rows, texts = [], []
+    for c in range(30):
+        said = []
+        for t in range(draw.randrange(1, 9)):
+            parts = []
+            for _ in range(draw.randrange(0, 3)):
+                source = draw.choice(said if said and draw.random() < 0.8 else texts or [""])
+                kept = source.split("\n")
+                kept = draw.choice([kept, kept[:1], [draw.choice(kept).split(". ")[0]]])
+                parts += draw.choice([[], ["On Monday Ann wrote:"]]) + [draw.choice([">", "> "]) + x for x in kept]
+            parts += [""] + [" ".join(sentence() for _ in range(draw.randrange(1, 4))) for _ in range(draw.randrange(1, 3))]
+            text = "\n".join(parts)
+            rows.append((c, t, "u", text))
+            said.append(text)
+            texts.append(text)
+    found = quote_links(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    expected = brute_links(rows)
+    assert {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"], r["n_linked"]) for r in found} == expected
+    assert sum(p[0] is not None for p in expected.values()) > 40 and any(p[0] not in (None, k[0]) for k, p in expected.items())
+
+
+def test_a_message_of_many_lines(spark):
+    text = "\n".join(f"{'> ' * (k % 3)}line {k} of it" for k in range(20_000))
+    found = quote_links(spark.createDataFrame([(1, 0, "u", text)], "conv_id bigint, turn bigint, role string, text string")).first()
+    assert found["n_quotes"] == sum(k % 3 > 0 for k in range(20_000))
+
+
 def test_raking_meets_its_targets(spark):
     draw = random.Random(10)
     rows = [(k, " ".join(["w"] * draw.randrange(1, 50)), draw.choice(["s1", "s1", "s2"]), draw.choice(["en", "en", "en", "de"])) for k in range(400)]
