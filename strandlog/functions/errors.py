@@ -45,6 +45,10 @@ class TransientError(LogError):
     http_status = 503
 
 
+class StalePageError(TransientError):
+    """Records were erased while a page of them was folded; the page must be read again."""
+
+
 class PolicyViolationError(LogError):
     http_status = 403
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -17,7 +18,8 @@ Validator = Callable[[dict], list[str] | None]
 
 @dataclass(frozen=True)
 class EventSpec:
-    """data: returns problems, if any. upcast: from what is stored to what handlers see."""
+    """data: returns problems, if any. upcast: from what is stored to what handlers see; upcast_column: the same over a column
+    of payloads (JSON text), for frames. Without it, frames run upcast in Arrow batches."""
 
     data: Validator | None = None
     scopes: tuple[str, ...] = ()
@@ -25,6 +27,7 @@ class EventSpec:
     unique: tuple[str, ...] = ()
     id_key: str | None = None
     upcast: Callable[[dict], dict] | None = None
+    upcast_column: Callable[[Any], Any] | None = None
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,13 @@ def from_payload(payload: dict, id_key: str) -> tuple[str | None, dict, dict[str
     return own if isinstance(own, str) else None, {k: v for k, v in payload.items() if k not in (id_key, "scopes")}, scopes
 
 
+def upcast_payload(payload: str, upcast: Callable[[dict], dict], id_key: str) -> str:
+    """A stored payload with its data upcast; the own id and the scopes stay."""
+    raw = json.loads(payload)
+    kept = {k: raw[k] for k in (id_key, "scopes") if k in raw}
+    return json.dumps(upcast({k: v for k, v in raw.items() if k not in kept}) | kept, separators=(",", ":"), ensure_ascii=False)
+
+
 class Registry:
     def __init__(self, specs: dict[str, EventSpec]):
         for name, spec in specs.items():
@@ -114,7 +124,7 @@ class Registry:
     def fold(self, handlers: dict[str, Callable[[Any, Recorded], Any]]) -> Callable[[Iterable[Recorded], Any], Any]:
         """(events, state) -> state. Types without a handler are skipped; a handler must not return UNDEFINED."""
         if unknown := set(handlers) - set(self.specs):
-            raise UsageError(f"handlers of types that are not declared: {sorted(unknown)}")
+            raise UsageError(f"these handlers name no declared type: {sorted(unknown)}")
 
         def run(events: Iterable[Recorded], state: Any) -> Any:
             for e in events:
@@ -157,6 +167,7 @@ class Schema:
     uniques: dict[str, tuple[str, ...]] = field(default_factory=dict)
     id_keys: dict[str, str] = field(default_factory=dict)
     upcasts: dict[str, Callable[[dict], dict]] = field(default_factory=dict)
+    upcast_columns: dict[str, Callable[[Any], Any]] = field(default_factory=dict)
     tenant_key: str | None = None
     strict: bool = True
     lock_salt: str | None = None
@@ -169,7 +180,7 @@ EMPTY_SCHEMA = Schema(strict=False)
 
 
 def build_schema(registries: list[Registry], scope_keys: Iterable[str] = (), tenant_key: str | None = None, lock_salt: str | None = None, strict: bool = True) -> Schema:
-    keys, uniques, ids, upcasts = set(scope_keys), {}, {}, {}
+    keys, uniques, ids, upcasts, columns = set(scope_keys), {}, {}, {}, {}
     if tenant_key:
         keys.add(tenant_key)
     for r in registries:
@@ -182,7 +193,9 @@ def build_schema(registries: list[Registry], scope_keys: Iterable[str] = (), ten
                 uniques[name] = spec.unique
             if spec.upcast:
                 upcasts[name] = spec.upcast
-    return Schema(tuple(sorted(keys)), uniques, ids, upcasts, tenant_key, strict, lock_salt)
+            if spec.upcast_column:
+                columns[name] = spec.upcast_column
+    return Schema(tuple(sorted(keys)), uniques, ids, upcasts, columns, tenant_key, strict, lock_salt)
 
 
 def check_envelope(event: NewEvent, schema: Schema) -> None:

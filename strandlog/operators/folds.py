@@ -29,6 +29,16 @@ def last_by(value: str) -> Column:
     return F.max_by(value, F.struct(*ORDER))
 
 
+def fold_since(rows: DataFrame, key: list[str], cut: Column, **aggregates: Column) -> DataFrame:
+    """An algebraic fold that begins anew after each event where cut holds; a key whose last event is one has no row.
+
+    The last cut of each key is a max before the shuffle; so a hot key costs no more than others.
+    """
+    last = rows.where(cut).groupBy(*key).agg(F.max(F.struct(*ORDER)).alias("_cut"))
+    beyond = rows.join(last, key, "left").where(F.col("_cut").isNull() | (F.struct(*ORDER) > F.col("_cut")))
+    return beyond.groupBy(*key).agg(*[c.alias(name) for name, c in aggregates.items()])
+
+
 def fold_ordered(rows: DataFrame, key: list[str], event: Column, initial: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """key and state: a lambda over the sorted events of each key. A key's events must fit in one row; fold_python has no
     such bound."""
@@ -45,8 +55,8 @@ def fold_running(rows: DataFrame, key: list[str], **aggregates: Column) -> DataF
 def fold_python(rows: DataFrame, key: str, initial: Callable[[], Any], step: Callable[[Any, dict], Any], finish: Callable[[Any], dict], schema: str, on_error: str = "raise") -> DataFrame:
     """key and finish(state) of each key, by a Python step over its events in order.
 
-    Rows are sorted by key inside their partitions and streamed, so that a key may have any number of events. With
-    on_error="keep" a key whose step raises gets nulls and the first failing sequence with its error, in the columns
+    Rows are sorted by key inside their partitions and streamed, so that a key may have any number of events; a key's events
+    are folded one after the other by one task, so a fold that can be written as sums belongs into fold_algebraic. whose last state is None is deleted: it has no row. With on_error="keep" a key whose step raises gets nulls and the first failing sequence with its error, in the columns
     failed_sequence and failed_error that schema must then name.
     """
     names = [part.split()[0] for part in schema.split(",")]
@@ -58,6 +68,8 @@ def fold_python(rows: DataFrame, key: str, initial: Callable[[], Any], step: Cal
         out: list[dict] = []
 
         def close() -> None:
+            if state is None and not failed:
+                return
             row = {} if failed else finish(state)
             more = {"failed_sequence": failed[0], "failed_error": failed[1]} if failed else {}
             out.append({key: held} | row | more)

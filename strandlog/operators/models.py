@@ -16,13 +16,32 @@ from strandlog.operators.windows import numbered
 RANKS = ("number", "string", "boolean", "date")
 
 
-def keyed(states: DataFrame, delta: DataFrame, key: list[str], sums: list[str], last: dict[str, str], order: str = "sequence") -> DataFrame:
-    """Stored states and those of newer events, merged: sums add up, last values follow the order column.
+def keyed(states: DataFrame, delta: DataFrame, key: list[str], sums: list[str], last: dict[str, str | tuple[str, ...]], order: str | tuple[str, ...] = "sequence") -> DataFrame:
+    """Stored states and those of newer events, merged: sums add up, last values follow their order columns.
 
-    Both sides have one row a key, with the columns of sums, last and order; a delta is made by the same fold.
+    Both sides have one row a key, with the columns of sums, last and order; a delta is made by the same fold. Where late
+    transactions can commit, the order is (transaction_id, sequence).
     """
+    at = lambda by: by if isinstance(by, str) else F.struct(*by)
     both = states.unionByName(delta.select(*states.columns))
-    return both.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums], *[F.max_by(c, by).alias(c) for c, by in last.items()], F.max(order).alias(order))
+    merged = both.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums], *[F.max_by(c, at(by)).alias(c) for c, by in last.items()], F.max(at(order)).alias("_at"))
+    return merged.withColumnRenamed("_at", order) if isinstance(order, str) else merged.select(*key, *sums, *last, "_at.*")
+
+
+def key_batch(states: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The states of the keys that a page touches: keys are as many as a page has records at most, so they are sent to the states."""
+    return states.join(F.broadcast(keys.select(*key).distinct()), key, "left_semi")
+
+
+def with_previous(revisions: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Every revision of a state with the values of the one before it, as previous_<value> and previous_<order>."""
+    w = Window.partitionBy(key).orderBy(order)
+    return revisions.select("*", *[F.lag(v).over(w).alias(f"previous_{v}") for v in [*values, order]])
+
+
+def without_retired(states: DataFrame, retired: DataFrame, key: list[str]) -> DataFrame:
+    """States but for those of retired (name, version or key) rows: what a retirement leaves."""
+    return states.join(retired.select(*key).distinct(), key, "left_anti")
 
 
 def split_failed(rows: DataFrame, key: str, poison: Column) -> tuple[DataFrame, DataFrame]:
@@ -49,19 +68,33 @@ def where_equal(states: DataFrame, where: dict[str, Any]) -> DataFrame:
 
 def rank_of(v: Column) -> Column:
     """0 to 3 for a number, string, boolean or date in a variant, NULL for what has no place in a list's order."""
-    k = kind(v)
-    return F.when(k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), 0).when(k == "STRING", 1).when(k == "BOOLEAN", 2).when(k.startswith("OBJECT") & kind(F.try_variant_get(v, '$["$date"]', "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE)"), 3)
+    return mixed_value(v)["rank"]
+
+
+def mixed_value(v: Column) -> Column:
+    """rank, num, str, flag of a variant: the kind's place in a list's order and the value as that kind; a date is a number.
+
+    The kind is computed once: it is an element of an array that a lambda looks at.
+    """
+    number = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+    def of(z: Column) -> Column:
+        k, date = z["kind"], z["date"]
+        rank = F.when(k.rlike(number), 0).when(k == "STRING", 1).when(k == "BOOLEAN", 2).when(date.isNotNull(), 3)
+        return F.struct(
+            rank.alias("rank"), F.when(rank == 0, F.try_variant_get(z["v"], "$", "double")).when(rank == 3, date).alias("num"),
+            F.when(rank == 1, F.try_variant_get(z["v"], "$", "string")).alias("str"), F.when(rank == 2, F.try_variant_get(z["v"], "$", "boolean")).alias("flag"),
+        )
+
+    inner = F.try_variant_get(v, '$["$date"]', "variant")
+    date = F.when(kind(inner).rlike(number), F.try_variant_get(inner, "$", "double"))
+    return F.transform(F.array(F.struct(v.alias("v"), kind(v).alias("kind"), date.alias("date"))), of)[0]
 
 
 def mixed_order(v: Column, key: Column, descending: bool = False) -> list[Column]:
-    """Sort columns over a variant of mixed kinds: missing last both ways, then kind, value and key (ascending)."""
-    rank = rank_of(v)
-    parts = [
-        F.when(rank == 0, F.try_variant_get(v, "$", "double")), F.when(rank == 1, F.try_variant_get(v, "$", "string")),
-        F.when(rank == 2, F.try_variant_get(v, "$", "boolean")), F.when(rank == 3, F.try_variant_get(v, '$["$date"]', "double")),
-    ]
+    """Sort columns over a mixed_value: missing last both ways, then kind, value and key (ascending)."""
     way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    return [rank.isNull().asc(), way(rank), *[way(p) for p in parts], key.asc()]
+    return [v["rank"].isNull().asc(), way(v["rank"]), way(v["num"]), way(v["str"]), way(v["flag"]), key.asc()]
 
 
 def listed(states: DataFrame, key: str, order: list[Column], offset: int = 0, limit: int = 50) -> DataFrame:

@@ -6,9 +6,11 @@ The order of operations is fixed: `until` narrows everything; matching and the c
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,10 @@ def needs_payload(f: dict, log: Log) -> bool:
 
 
 def read(log: Log, query: Query, **options: Any) -> Read:
-    """A page of a query. See checked_options for the options; cursor=None counts as given, without a bound."""
+    """A page of a query. See checked_options for the options; cursor=None counts as given, without a bound.
+
+    Rows are sorted where an order or a limit is given; else they come as they lie, and nothing is shuffled.
+    """
     checked_options(**options)
     matched, filters = matching(log, query, options.get("until"))
     visible = F.lit(True)
@@ -84,7 +89,8 @@ def read(log: Log, query: Query, **options: Any) -> Read:
     rows = matched.where(visible)
     rows = projected(rows, log, options)
     keys = ["transaction_id", "sequence"] if "cursor" in options or options.get("settled_only") else ["sequence"]
-    rows = rows.orderBy(*[F.col(k).desc() if options.get("order") == "desc" else F.col(k).asc() for k in keys])
+    if options.get("order") is not None or options.get("limit") is not None:
+        rows = rows.orderBy(*[F.col(k).desc() if options.get("order") == "desc" else F.col(k).asc() for k in keys])
     if options.get("limit") is not None:
         rows = rows.limit(options["limit"])
     return Read(rows, filters, matched, visible, log, options)
@@ -107,6 +113,37 @@ def projected(rows: DataFrame, log: Log, options: dict[str, Any]) -> DataFrame:
     return rows
 
 
+def renamed_field(old: str, new: str) -> Callable[[Column], Column]:
+    """An upcast of a payload (JSON text): a top-level field under its new name, where it is there."""
+    return lambda payload: F.to_json(F.transform_keys(F.from_json(payload, "map<string,variant>"), lambda k, v: F.when(k == old, new).otherwise(k)))
+
+
+def upcasted(log: Log, columns: dict[str, Callable[[Column], Column]] | None = None, python: dict[str, Callable[[dict], dict]] | None = None) -> Log:
+    """The log with payloads as the current versions of their types say; what is stored stays.
+
+    columns: by type, from the payload column to the new one, inside the same stage. python: by type, from a record's data to
+    the new data, in Arrow batches; only rows of those types go there.
+    """
+    from strandlog.functions.ids import default_id_key
+    from strandlog.functions.registry import upcast_payload
+
+    df = log.df
+    for type_, change in (columns or {}).items():
+        df = df.withColumn("payload", F.when(F.col("event_type") == type_, change(F.col("payload"))).otherwise(F.col("payload")))
+    if not python:
+        return log.with_df(lambda _: df)
+    own = {t: log.id_keys.get(t, default_id_key(t)) for t in python}
+    at, kind = df.columns.index("payload"), df.columns.index("event_type")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [upcast_payload(p, python[t], own[t]) for t, p in zip(batch.column(kind).to_pylist(), batch.column(at).to_pylist(), strict=True)]
+            yield batch.set_column(at, "payload", pa.array(new, pa.string()))
+
+    old = F.col("event_type").isin(sorted(python))
+    return log.with_df(lambda _: df.where(~old).unionByName(df.where(old).mapInArrow(run, df.schema)))
+
+
 def statistics(log: Log, query: Query | None = None) -> DataFrame:
     """event_type, count, bytes (of the payload as written), last_sequence of the records that a query matches."""
     matched, _ = matching(log, query if query is not None else {})

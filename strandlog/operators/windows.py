@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.sources.files import checkpointed
+
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with name: 1 to n in the given order; ties get any order among themselves.
 
     Ranges of the order are numbered each on its own and moved by the sizes of the ranges before them; the sizes, one
-    for each range, are the only thing that one task sorts. The ranged rows are kept until the session lets go of them,
-    because a second sampling could cut other ranges.
+    for each range, are the only thing that one task sorts. The ranged rows are written to the shared folder, because a
+    second sampling could cut other ranges.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).persist()
+    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))

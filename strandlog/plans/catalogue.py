@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlog.functions.filters import scope, scope_value, string_at
 from strandlog.functions.ids import default_id_key_column
 from strandlog.operators import folds, models, read
-from strandlog.sources.canonical import EVENTS_LOG_SQL, ORDERS_LOG_SQL, Log, events_log, orders_log, read_table
+from strandlog.sources.canonical import EVENT_KEYS, EVENTS_LOG_SQL, ORDERS_LOG_SQL, Log, events_frame, events_log, new_store, orders_log, read_table, shown, store_of, stored_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -119,16 +119,16 @@ over_events("omit_keys", "SELECT sequence, len(json_keys(payload)) - 2 AS n_keys
 over_events("lean_data", "SELECT sequence, event_id, user_scope FROM log WHERE event_type = 'error'")(lambda log: read.read(log, {"types": ["error"]}, data=False).rows.select("sequence", "event_id", F.col("scope_userId").alias("user_scope")))
 over_events("bare_payload", "SELECT sequence, event_type, '~' || sequence AS event_id FROM log WHERE event_type = 'error'")(lambda log: read.read(log, {"types": ["error"]}, payload=False).rows.select("sequence", "event_type", "event_id"))
 over_events("no_version", "SELECT (-1)::BIGINT AS context_version, max(sequence) AS last_returned FROM log WHERE event_type = 'error'")(lambda log: read.read(log, {"types": ["error"]}, version=False).summary().select("context_version", "last_returned"))
-over_events("upcast_rename", "SELECT sequence, CASE WHEN event_type = 'purchase' THEN cents END AS amount_cents, CASE WHEN event_type <> 'purchase' THEN cents END AS cents FROM log")(
-    lambda log: upcast(log.df, {"purchase": ("cents", "amount_cents")})
-)
+_UPCAST_SQL = "SELECT sequence, CASE WHEN event_type = 'purchase' THEN cents END AS amount_cents, CASE WHEN event_type <> 'purchase' THEN cents END AS cents FROM log"
+
 
+def amounts(log: Log) -> DataFrame:
+    at = lambda name: F.get_json_object("payload", f"$.{name}").cast("long").alias(name)
+    return log.df.select("sequence", at("amount_cents"), at("cents"))
 
-def upcast(df: DataFrame, renames: dict[str, tuple[str, str]]) -> DataFrame:
-    """Old names of a type's field become new ones on read; what is stored stays."""
-    (type_, (old, new)), = renames.items()
-    is_old = F.col("event_type") == type_
-    return df.select("sequence", F.when(is_old, F.col(old)).alias(new), F.when(~is_old, F.col(old)).alias(old))
+
+over_events("upcast_rename", _UPCAST_SQL)(lambda log: amounts(read.upcasted(log, {"purchase": read.renamed_field("cents", "amount_cents")})))
+over_events("upcast_python", _UPCAST_SQL)(lambda log: amounts(read.upcasted(log, python={"purchase": lambda d: {"amount_cents" if k == "cents" else k: v for k, v in d.items()}})))
 
 
 # ---- order, limits, paging -------------------------------------------------------------------------------------------
@@ -257,7 +257,8 @@ _MIXED_SQL = f"""SELECT event_id, place FROM (SELECT event_id, row_number() OVER
 
 
 def mixed_list(log: Log, descending: bool) -> DataFrame:
-    rows = log.df.select("event_id", F.parse_json(F.expr(_MIXED.replace("::VARCHAR", "").replace("THEN cents WHEN", "THEN cast(cents AS string) WHEN"))).alias("doc"))
+    doc = F.parse_json(F.expr(_MIXED.replace("::VARCHAR", "").replace("THEN cents WHEN", "THEN cast(cents AS string) WHEN")))
+    rows = log.df.select("event_id", models.mixed_value(doc).alias("doc"))
     return models.placed(rows, models.mixed_order(F.col("doc"), F.col("event_id"), descending)).select("event_id", "place")
 
 
@@ -273,17 +274,12 @@ over_events(
   WHERE (coalesce(a.last_type = 'click', false) OR coalesce(b.last_type = 'click', false)) AND (b.n IS NULL OR a.n <> b.n)""",
 )(lambda log: models.enter_leave(user_states(log.df.where("sequence <= 600")), user_states(log.df), "user_scope", F.col("last_type") == "click"))
 over_events("model_previous_state", "SELECT sequence, user_scope, lag(event_type) OVER (PARTITION BY user_scope ORDER BY sequence) AS previous, lag(sequence) OVER (PARTITION BY user_scope ORDER BY sequence) AS previous_revision FROM log WHERE user_scope IS NOT NULL")(
-    lambda log: previous(log.df.where("scope_userId IS NOT NULL").select("sequence", F.col("scope_userId").alias("user_scope"), "event_type"))
+    lambda log: models.with_previous(log.df.where("scope_userId IS NOT NULL").select("sequence", F.col("scope_userId").alias("user_scope"), F.col("event_type").alias("state")), "user_scope", "sequence", ["state"]).select(
+        "sequence", "user_scope", F.col("previous_state").alias("previous"), F.col("previous_sequence").alias("previous_revision")
+    )
 )
 
 
-def previous(df: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_scope").orderBy("sequence")
-    return df.select("sequence", "user_scope", F.lag("event_type").over(w).alias("previous"), F.lag("sequence").over(w).alias("previous_revision"))
-
-
 over_events("model_lag", "SELECT count(*) AS events, min(recorded_at) AS oldest FROM log WHERE event_type = 'purchase' AND sequence > 800")(lambda log: models.lag_of(read.read(log, {"types": ["purchase"]}).rows, 800))
 
 # ---- views, tenants, constraints -------------------------------------------------------------------------------------
@@ -332,6 +328,161 @@ QUERIES["conversation_fold"] = lambda spark, sf_dir: (
 ORACLES["conversation_fold"] = "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, arg_max(role, turn) AS last_role, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id"
 
 
+# ---- what a store, a stream and models make of the log ---------------------------------------------------------------
+
+_USERS = "SELECT user_scope, count(*) AS n, sum(cents)::BIGINT AS cents, arg_max(event_type, sequence) AS last_type FROM {} WHERE user_scope IS NOT NULL GROUP BY user_scope"
+over_events("model_key_batch", _STATES.format("log").replace("GROUP BY", "AND user_scope IN (SELECT user_scope FROM log WHERE sequence > 900 AND event_type = 'error') GROUP BY"))(
+    lambda log: models.key_batch(user_states(log.df), log.df.where("sequence > 900 AND event_type = 'error'").select(F.col("scope_userId").alias("user_scope")), ["user_scope"])
+)
+over_events("model_without_retired", _STATES.format("log").replace("GROUP BY", "AND user_scope NOT IN (SELECT user_scope FROM log WHERE event_type = 'signup' AND user_scope IS NOT NULL) GROUP BY"))(
+    lambda log: models.without_retired(user_states(log.df), log.df.where("event_type = 'signup' AND scope_userId IS NOT NULL").select(F.col("scope_userId").alias("user_scope")), ["user_scope"])
+)
+over_events(
+    "fold_by_deleting",
+    """SELECT user_scope, count(*) AS n, sum(cents)::BIGINT AS cents FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN sequence ELSE 0 END) OVER (PARTITION BY user_scope) AS cut FROM log WHERE user_scope IS NOT NULL)
+  WHERE sequence > cut GROUP BY user_scope""",
+)(lambda log: folds.fold_since(log.df.where("scope_userId IS NOT NULL").withColumnRenamed("scope_userId", "user_scope"), ["user_scope"], F.col("event_type") == "error", n=F.count("*"), cents=F.sum("cents")))
+over_events("fold_by_deleting_python", "SELECT user_scope, count(*) AS n FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN sequence ELSE 0 END) OVER (PARTITION BY user_scope) AS cut FROM log WHERE user_scope IS NOT NULL) WHERE sequence > cut GROUP BY user_scope")(
+    lambda log: folds.fold_python(log.df.select("sequence", "transaction_id", "event_type", F.col("scope_userId").alias("user_scope")), "user_scope", lambda: None, lambda s, e: None if e["event_type"] == "error" else (s or 0) + 1, lambda s: {"n": s}, "user_scope string, n bigint")
+)
+
+
+def over_store(name: str, sql: str):
+    """Registers a function of (spark, store) over a store that holds the events."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            folder = stored_folder(spark, sf_dir, "events", events_frame, EVENT_KEYS, "tenantId")
+            return f(spark, store_of(spark, folder, EVENT_KEYS, "tenantId"))
+
+        QUERIES[name], ORACLES[name] = run, f"WITH {EVENTS_LOG_SQL} {sql}"
+        return f
+
+    return put
+
+
+def folder_of(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from strandlog.sources.files import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@over_store("streamed_states", _USERS.format("log"))
+def streamed_states(spark: SparkSession, store) -> DataFrame:
+    """States that a streaming query keeps over the log, run twice and compacted between."""
+    from strandlog.streaming.source import StreamedStates, read_stream
+
+    cents = F.get_json_object("payload", "$.cents").cast("long")
+    states = StreamedStates(folder_of(spark, "states"), ["user_scope"], {"n": F.lit(1).cast("long"), "cents": cents}, {"last_type": F.col("event_type")})
+    rows = read_stream(spark, store.directory.removeprefix("file://")).withColumn("user_scope", scope_value(F.parse_json("payload"), "userId")).where("user_scope IS NOT NULL")
+    checkpoint = folder_of(spark, "stream")
+    for _ in range(2):
+        states.start(rows, checkpoint).awaitTermination()
+        states.compact(spark)
+    return states.read(spark).select("user_scope", "n", "cents", "last_type")
+
+
+def rewritten(name: str, sql: str):
+    """Registers a function of (spark, store) that may change the store: one of its own, filled from the events."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: f(spark, new_store(spark, events_frame(spark, sf_dir), EVENT_KEYS, "tenantId"))
+        ORACLES[name] = f"WITH {EVENTS_LOG_SQL} {sql}"
+        return f
+
+    return put
+
+
+@rewritten("compacted_log", "SELECT sequence, transaction_id, event_type, event_id, user_scope, payload FROM log")
+def compacted_log(spark: SparkSession, store) -> DataFrame:
+    store.compact(spark)
+    return shown(store.snapshot(spark), EVENT_KEYS).df.select("sequence", "transaction_id", "event_type", "event_id", F.col("scope_userId").alias("user_scope"), "payload")
+
+
+@rewritten("erased_log", "SELECT sequence, event_type, user_scope FROM log WHERE coalesce(tenant_scope <> 't3', true)")
+def erased_log(spark: SparkSession, store) -> DataFrame:
+    store.erase_frame(spark, scope("tenantId", "t3"))
+    return shown(store.snapshot(spark), EVENT_KEYS).df.select("sequence", "event_type", F.col("scope_userId").alias("user_scope"))
+
+
+def user_model(name: str):
+    from strandlog.operators.live import ModelDefinition
+
+    def fold(state: dict, e) -> dict:
+        return {"n": state["n"] + 1, "cents": state["cents"] + e.data["cents"], "last_type": e.type}
+
+    return ModelDefinition(name, 1, {}, "userId", fold, {"n": 0, "cents": 0, "last_type": None}, batch_size=5_000)
+
+
+def of_state(rows: DataFrame) -> list[Column]:
+    at = lambda f: F.get_json_object("state", f"$.{f}")
+    return [at("n").cast("long").alias("n"), at("cents").cast("long").alias("cents"), at("last_type").alias("last_type")]
+
+
+@over_store("persisted_model_rows", _USERS.format("log"))
+def persisted_model_rows(spark: SparkSession, store) -> DataFrame:
+    """The rows of a persisted model that folded the log page by page, read from its files at one commit."""
+    from strandlog.operators.live import PersistedModel
+
+    model = PersistedModel(store, user_model("users"), folder_of(spark, "models"))
+    model.catch_up()
+    rows = model.frame(spark)
+    return rows.select(F.col("key").alias("user_scope"), *of_state(rows))
+
+
+@over_store("cross_tenant_processor", "SELECT tenant_scope, user_scope, count(*) AS n, sum(cents)::BIGINT AS cents, arg_max(event_type, sequence) AS last_type FROM log WHERE user_scope IS NOT NULL AND tenant_scope IS NOT NULL GROUP BY ALL")
+def cross_tenant_processor(spark: SparkSession, store) -> DataFrame:
+    from strandlog.operators.live import PersistedCrossTenantModel
+
+    model = PersistedCrossTenantModel(store, user_model("users"), folder_of(spark, "models"))
+    model.catch_up()
+    rows = model.frame(spark)
+    return rows.select(F.split("key", "\\x00")[0].alias("tenant_scope"), F.split("key", "\\x00")[1].alias("user_scope"), *of_state(rows))
+
+
+@over_store("live_model_page", f"SELECT user_scope, n, cents, place FROM (SELECT *, row_number() OVER (ORDER BY cents DESC, user_scope) AS place FROM ({_USERS.format('log')}) WHERE last_type = 'click') WHERE place BETWEEN 6 AND 30")
+def live_model_page(spark: SparkSession, store) -> DataFrame:
+    from strandlog.operators.live import LiveModel
+
+    model = LiveModel(store, user_model("users"))
+    model.catch_up()
+    page = model.list(where={"last_type": "click"}, sort="cents", descending=True, offset=5, limit=25)
+    return spark.createDataFrame([(r["key"], r["state"]["n"], r["state"]["cents"], k) for k, r in enumerate(page.rows, 6)], "user_scope string, n bigint, cents bigint, place bigint")
+
+
+@over_store("subscription_pages", "SELECT event_type, count(*) AS n, min(sequence) AS first_sequence, max(sequence) AS last_sequence, sum(sequence)::BIGINT AS total FROM log WHERE event_type IN ('error', 'signup') OR tenant_scope = 't1' GROUP BY event_type")
+def subscription_pages(spark: SparkSession, store) -> DataFrame:
+    """What a durable subscription delivered, page by page."""
+    from strandlog.streaming.subscribe import Subscription
+
+    seen: list[tuple[str, int]] = []
+    Subscription(store, "s", _TWO, lambda events: seen.extend((e.type, e.sequence) for e in events), batch_size=700).run_until_caught_up()
+    got = spark.createDataFrame(seen, "event_type string, sequence bigint")
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.sum("sequence").alias("total"))
+
+
+@over_store("store_pages", "SELECT sequence, event_type, event_id, user_scope FROM log WHERE event_type = 'error' AND sequence > 50")
+def store_pages(spark: SparkSession, store) -> DataFrame:
+    """Pages of the store's own reads, each with the bound that the one before ended with."""
+    rows, after = [], 50
+    while page := store.query({"types": ["error"]}, after=after, limit=200, version=False).events:
+        rows += [(e.sequence, e.type, e.id, e.scopes.get("userId") or (e.data["userId"] if isinstance(e.data.get("userId"), str) else None)) for e in page]
+        after = page[-1].sequence
+    return spark.createDataFrame(rows, "sequence bigint, event_type string, event_id string, user_scope string")
+
+
+@over_store("command_context", "SELECT count(*) AS n, sum(cents)::BIGINT AS cents, max(sequence) AS version FROM log WHERE user_scope = 'u7'")
+def command_context(spark: SparkSession, store) -> DataFrame:
+    """A context's state and version as a command sees them, from pages of a cold cache."""
+    from strandlog.operators.context import ContextCache
+
+    fold = lambda events, s: (s[0] + len(events), s[1] + sum(e.data["cents"] for e in events))
+    found = ContextCache(store, page=50).load(scope("userId", "u7"), fold, (0, 0))
+    return spark.createDataFrame([(*found.state, found.ctx[1])], "n bigint, cents bigint, version bigint")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-user read model of the events log: a filtered, sorted page."""
     states = user_states(events_log(spark, sf_dir).df)

@@ -54,8 +54,12 @@ def extracted(df: DataFrame, scope_keys: tuple[str, ...]) -> DataFrame:
     return df.withColumn("_s", found).select(*df.columns, own.alias("event_id"), *[F.col("_s").getField(k).alias(f"scope_{k}") for k in scope_keys])
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> Log:
-    """The events table as a log. Every tenth event has its user in another place: flat, as a number, nowhere, or both
+EVENT_KEYS = ("userId", "tenantId")
+ORDER_KEYS = ("customerRegisteredId", "orderPlacedId")
+
+
+def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as records. Every tenth event has its user in another place: flat, as a number, nowhere, or both
     under scopes and flat."""
     e = read_table(spark, sf_dir, "events")
     way = F.col("event_id") % 10
@@ -69,12 +73,60 @@ def events_log(spark: SparkSession, sf_dir: str) -> Log:
     flat = F.when(way == 6, F.concat(F.lit(',"userId":"'), user, F.lit('"'))).when(way == 7, F.concat(F.lit(',"userId":'), F.col("user_id"))).when(way == 9, F.lit(',"userId":"x"')).otherwise("")
     inside = F.when(way.isin(6, 7, 8), "").otherwise(F.concat(F.lit('"userId":"'), user, F.lit('",')))
     payload = F.concat(head, flat, F.lit(',"scopes":{'), inside, F.lit('"tenantId":"'), tenant, F.lit('"}}'))
-    base = e.select(
-        (F.col("event_id") + 1).alias("sequence"), (F.floor(F.col("event_id") / TRANSACTION_EVENTS) + 1).cast("long").alias("transaction_id"), "event_type",
-        payload.alias("payload"), F.col("ts").alias("recorded_at"), F.round(F.col("value") * 100).cast("long").alias("cents"),
+    return e.select(
+        (F.col("event_id") + 1).alias("sequence"), (F.floor(F.col("event_id") / TRANSACTION_EVENTS) + 1).cast("long").alias("transaction_id"), "event_type", payload.alias("payload"), F.col("ts").alias("recorded_at"),
     )
-    keys = ("userId", "tenantId")
-    return Log(extracted(base, keys), keys, tenant_key="tenantId")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> Log:
+    """The events table as a log that a FileStore keeps in the shared folder; written once a session."""
+    return stored_log(spark, sf_dir, "events", events_frame, EVENT_KEYS, "tenantId")
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> Log:
+    """Customers, orders and lines as such a log."""
+    return stored_log(spark, sf_dir, "orders", orders_frame, ORDER_KEYS, None)
+
+
+_stored: dict[tuple, str] = {}
+
+
+def store_of(spark: SparkSession, folder: str, keys: tuple[str, ...], tenant_key: str | None):
+    """A store over a folder, through the session's file systems, with the amount of payloads as a column."""
+    from strandlog.functions.registry import Schema
+    from strandlog.sources.files import HadoopFiles
+    from strandlog.sources.store import FileStore
+
+    return FileStore(folder, Schema(tuple(keys), tenant_key=tenant_key, strict=False), files=HadoopFiles(spark), fields={"cents": "bigint"})
+
+
+def new_store(spark: SparkSession, frame: DataFrame, keys: tuple[str, ...], tenant_key: str | None):
+    """A store in a folder of its own that is filled from a frame."""
+    import uuid
+
+    from strandlog.sources.files import shared_folder
+
+    store = store_of(spark, f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}", keys, tenant_key)
+    store.import_frame(spark, frame)
+    return store
+
+
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[SparkSession, str], DataFrame], keys: tuple[str, ...], tenant_key: str | None) -> str:
+    made = spark.sparkContext.applicationId, sf_dir, name
+    if made not in _stored:
+        _stored[made] = new_store(spark, frame(spark, sf_dir), keys, tenant_key).directory
+    return _stored[made]
+
+
+def stored_log(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[SparkSession, str], DataFrame], keys: tuple[str, ...], tenant_key: str | None) -> Log:
+    return shown(store_of(spark, stored_folder(spark, sf_dir, name, frame, keys, tenant_key), keys, tenant_key).snapshot(spark), keys)
+
+
+def shown(log: Log, keys: tuple[str, ...]) -> Log:
+    """A snapshot with the amount as cents, times as such, and a name for records without an id."""
+    own = F.coalesce("event_id", F.concat(F.lit("~"), "sequence"))
+    columns = ["sequence", "transaction_id", "event_type", own.alias("event_id"), "payload", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), *[f"scope_{k}" for k in keys], F.col("field_cents").alias("cents")]
+    return log.with_df(lambda df: df.select(*columns))
 
 
 #: The same log in DuckDB's SQL, as a common table expression named log.
@@ -100,8 +152,8 @@ def sequenced(df: DataFrame, order: list[str]) -> DataFrame:
     return numbered(df, [F.col(c) for c in order], "sequence")
 
 
-def orders_log(spark: SparkSession, sf_dir: str) -> Log:
-    """Customers, orders and lines as one log: adoption of three tables with their back-links."""
+def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, orders and lines as records: adoption of three tables with their back-links, numbered in one order."""
     c, o, i = (read_table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     none = F.lit(0).cast("long")
 
@@ -118,12 +170,13 @@ def orders_log(spark: SparkSession, sf_dir: str) -> Log:
     all_ = all_.unionByName(part(i, 3, "LineShipped", F.lit(None).cast("string"), F.concat(F.lit("o"), "l_orderkey"), F.col("l_orderkey"), F.col("l_linenumber"), lines))
     made = sequenced(all_, ["rank", "a", "b", "o0", "o1", "o2", "o3"])
     is_order, is_line = F.col("event_type") == "OrderPlaced", F.col("event_type") == "LineShipped"
-    df = made.select(
-        "sequence", "event_type", F.coalesce("event_id", F.concat(F.lit("~"), "sequence")).alias("event_id"),
-        F.when(is_order, F.col("link")).otherwise(F.when(F.col("event_type") == "CustomerRegistered", F.col("event_id"))).alias("scope_customerRegisteredId"),
-        F.when(is_line, F.col("link")).otherwise(F.when(is_order, F.col("event_id"))).alias("scope_orderPlacedId"), F.col("o3").alias("cents"),
-    )
-    return Log(df, ("customerRegisteredId", "orderPlacedId"))
+    quoted = lambda key, value: F.concat(F.lit(f'"{key}":"'), value, F.lit('"'))
+    own = quoted("customerRegisteredId", F.col("event_id")), quoted("orderPlacedId", F.col("event_id"))
+    link = lambda key: F.concat(F.lit('"scopes":{'), quoted(key, F.col("link")), F.lit("}"))
+    is_order, is_line = F.col("event_type") == "OrderPlaced", F.col("event_type") == "LineShipped"
+    body = F.when(is_line, F.concat(F.lit('"cents":'), "o3", F.lit(","), link("orderPlacedId"))).when(is_order, F.concat(own[1], F.lit(","), link("customerRegisteredId"))).otherwise(own[0])
+    payload = F.concat(F.lit("{"), body, F.lit("}"))
+    return made.select("sequence", (F.floor((F.col("sequence") - 1) / TRANSACTION_EVENTS) + 1).cast("long").alias("transaction_id"), "event_type", payload.alias("payload"))
 
 
 ORDERS_LOG_SQL = """parts AS (SELECT 1 AS rank, 'CustomerRegistered' AS event_type, 'c' || c_custkey AS event_id, NULL AS link, c_custkey AS a, 0 AS b, 0 AS o0, 0 AS o1, 0 AS o2, 0 AS o3 FROM customer
@@ -134,4 +187,4 @@ log AS (SELECT sequence, event_type, coalesce(event_id, '~' || sequence) AS even
   CASE event_type WHEN 'OrderPlaced' THEN link WHEN 'CustomerRegistered' THEN event_id END AS customer_scope,
   CASE event_type WHEN 'LineShipped' THEN link WHEN 'OrderPlaced' THEN event_id END AS order_scope, o3::BIGINT AS cents FROM numbered)"""
 
-__all__ = ["EVENTS_LOG_SQL", "ORDERS_LOG_SQL", "Log", "default_id_key", "events_log", "extracted", "orders_log", "read_table", "sequenced", "string_at"]
+__all__ = ["EVENTS_LOG_SQL", "ORDERS_LOG_SQL", "Log", "default_id_key", "events_frame", "events_log", "extracted", "orders_frame", "orders_log", "read_table", "sequenced", "stored_log", "string_at"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -78,6 +79,24 @@ class Interfering:
         return self._store.append_if(events, ctx)
 
 
+class Slow:
+    """A store whose calls take so many seconds more, each."""
+
+    def __init__(self, store: FileStore, seconds: float):
+        self._store, self._seconds = store, seconds
+
+    def __getattr__(self, name: str) -> Any:
+        found = getattr(self._store, name)
+        if not callable(found):
+            return found
+
+        def call(*a: Any, **k: Any) -> Any:
+            time.sleep(self._seconds)
+            return found(*a, **k)
+
+        return call
+
+
 class Recording:
     """A store that keeps the names and arguments of its calls."""
 
@@ -96,4 +115,4 @@ class Recording:
         return call
 
 
-__all__ = ["Interfering", "Outcome", "Recording", "Spec", "given", "make_event", "reset_sequence"]
+__all__ = ["Interfering", "Outcome", "Recording", "Slow", "Spec", "given", "make_event", "reset_sequence"]

@@ -46,7 +46,7 @@ def test_reads(store, spark):
     assert [len(x) for x in store.query([q, {"types": ["MoneyDeposited"]}]).by_filter] == [3, 2]
     log = store.snapshot(spark)
     for options in ({}, {"after": 1}, {"until": 2}, {"limit": 2, "order": "desc"}, {"cursor": (2, 2)}):
-        mine, other = read(log, q, **options), store.query(q, **options)
+        mine, other = read(log, q, **{"order": "asc"} | options), store.query(q, **options)
         assert [r["sequence"] for r in mine.rows.collect()] == [e.sequence for e in other.events]
         s = mine.summary().first()
         assert (s["context_version"], s["last_returned"]) == (other.context_version, other.last_returned)
