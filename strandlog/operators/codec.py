@@ -38,6 +38,16 @@ def encode(value: Any, path: str = "$", depth: int = 0) -> Any:
     raise UsageError(f"a state cannot hold a {type(value).__name__} at {path}")
 
 
+_PLAIN = frozenset({int, str, bool, float, type(None)})
+
+
+def check(value: Any) -> None:
+    """Raises what encode would; quick for flat states of plain values."""
+    if type(value) in _PLAIN or type(value) is dict and all(type(k) is str and type(v) in _PLAIN for k, v in value.items()):
+        return
+    encode(value)
+
+
 def decode(value: Any) -> Any:
     if isinstance(value, list):
         return [decode(v) for v in value]
