@@ -7,7 +7,7 @@ have equal ranks wherever they stand. A global round sorts ranks and drops every
    string of 200 bytes holds such a position, chosen by its bytes alone, and a string that occurs twice holds it twice.
    So positions can be thinned to two in a hundred here.
 2. At the threshold, all positions are ranked whose string holds a survivor of the first round: by the pair of the ranks
-   at half of the position and of the one half further on, and by a second name of the whole string, 128 bits together.
+   at half of the position and of the one half further on, and by a second name of the whole string, 96 bits together.
 
 What stays are the positions whose string of 200 bytes starts elsewhere too. Ranks travel packed, dealt by their leading
 bits; before the second round texts are put beside their copies, so that a group sends a rank once. The survivors of the
@@ -69,10 +69,10 @@ def half_ranks(raw: np.ndarray, half: int) -> np.ndarray:
 
 
 def full_names(raw: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two names of the string of the given length at every position: of the half ranks at it and at length - half further on,
-    and of the whole string by another table."""
+    """Two names of the string of the given length at every position: 64 bits of the half ranks at it and at length - half
+    further on, and 32 bits of the whole string by another table."""
     halves, step = half_ranks(raw, half), length - half
-    return mix64(halves[:-step] * _PAIR + halves[step:]), window_hashes(raw, length, _SECOND)
+    return mix64(halves[:-step] * _PAIR + halves[step:]), (window_hashes(raw, length, _SECOND) >> np.uint64(32)).astype(np.uint32)
 
 
 def thinned(halves: np.ndarray, half: int, length: int) -> np.ndarray:
@@ -185,13 +185,14 @@ def packed_names(one: np.ndarray, two: np.ndarray, counts: np.ndarray, bucket_bi
 
 def repeated_names(packs: list[bytes], twice: list[bytes]) -> list[bytes]:
     """For each pack, a bit for each name that stands in another pack too or came twice in its own."""
-    parts = [np.frombuffer(p, dtype=np.uint64).reshape(2, -1) for p in packs]
-    own = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=p.shape[1]).astype(bool) for t, p in zip(twice, parts, strict=True)])
-    names = np.concatenate(parts, axis=1)
-    _, _, counts, place = distinct_names(names[0], names[1])
+    sizes = [len(p) // 12 for p in packs]
+    one = np.concatenate([np.frombuffer(p, dtype=np.uint64, count=n) for p, n in zip(packs, sizes, strict=True)])
+    two = np.concatenate([np.frombuffer(p, dtype=np.uint32, offset=8 * n) for p, n in zip(packs, sizes, strict=True)])
+    own = np.concatenate([np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=n).astype(bool) for t, n in zip(twice, sizes, strict=True)])
+    _, _, counts, place = distinct_names(one, two)
     again = counts > 1
     again[place[own]] = True
-    return [np.packbits(x).tobytes() for x in np.split(again[place], np.cumsum([p.shape[1] for p in parts])[:-1])]
+    return [np.packbits(x).tobytes() for x in np.split(again[place], np.cumsum(sizes)[:-1])]
 
 
 def joined_spans(spans: list[np.ndarray]) -> np.ndarray:

@@ -128,10 +128,10 @@ def test_pieces_choose_the_same_positions():
 
 
 def test_names_that_share_a_half():
-    one, two = np.array([5, 5, 5, 7], dtype=np.uint64), np.array([1, 2, 1, 1], dtype=np.uint64)
+    one, two = np.array([5, 5, 5, 7], dtype=np.uint64), np.array([1, 2, 1, 1], dtype=np.uint32)
     a, b, counts, place = suffix_dedup.distinct_names(one, two)
     assert (a.tolist(), b.tolist(), counts.tolist(), place.tolist()) == ([5, 5, 7], [1, 2, 1], [2, 1, 1], [0, 1, 0, 2])
-    packs = [np.array(x, dtype=np.uint64).tobytes() for x in ([5, 7, 1, 1], [5, 8, 2, 1], [7, 9, 1, 1])]
+    packs = [np.array(x[:2], dtype=np.uint64).tobytes() + np.array(x[2:], dtype=np.uint32).tobytes() for x in ([5, 7, 1, 1], [5, 8, 2, 1], [7, 9, 1, 1])]
     flags = suffix_dedup.repeated_names(packs, [b"\x00", b"\x40", b"\x00"])
     assert [np.unpackbits(np.frombuffer(f, dtype=np.uint8), count=2).tolist() for f in flags] == [[0, 1], [0, 1], [1, 0]]
 
