@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8, a pair shares no band with a chance of (1 - 0.8^5)^26, about 3e-5.
 ROWS, BANDS = 5, 26
 #: Rows of one leader that are dealt together.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _COPY = np.uint64(0x9E3779B97F4A7C15)
 
