@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,17 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, plain[f.dataType.simpleString()]) for f in schema])
 
 
+@lru_cache(maxsize=1)
+def lean_worker() -> None:
+    """From now on this Python worker gives the memory of large arrays back when they go; without it a worker that is used again
+    keeps what its largest task took. Where the C library knows no such setting, nothing changes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: larger blocks are mapped, each on its own
+    except (OSError, AttributeError):
+        pass
+
+
 MASK64 = (1 << 64) - 1
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import durable, mix64
+from strandlog.llm.common import durable, lean_worker, mix64
 from strandlog.llm.components import connected_components
 from strandlog.llm.shingles import WORDS, folded, in_chunks, multiset, shingle_hashes, weighted_jaccard
 
@@ -83,6 +83,7 @@ def sketches(docs: DataFrame, rows: int, bands: int, words: int) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             exact = ["" if not t.is_valid else t.as_py() for t in batch.column(1)]
             raw = [folded(t) for t in exact]
@@ -152,6 +153,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         leader: tuple = ()
         for batch in batches:
             ids, near, weights, made = ([], []), [], [], []

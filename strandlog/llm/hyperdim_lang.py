@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlog.llm.common import free_name
+from strandlog.llm.common import free_name, lean_worker
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -111,6 +111,7 @@ def learn(docs: DataFrame, text: Column, lang: Column, use: Column, train_docs:
     rows = drawn.dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         made = Profiler(dimensions, order, seed)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -146,6 +147,7 @@ def identify(
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         made = Profiler(dimensions, order, seed)
         for batch in batches:
             best, score = [], []

@@ -154,6 +154,7 @@ def mixed_documents(docs: DataFrame, features: dict[str, Column] | None = None,
     names = [free_name(docs.columns, f"_{d}") for d in DIMS]
     prob = free_name(docs.columns, "_prob")
     cells = chances.select(*[F.col(d).alias(n) for d, n in zip(DIMS, names, strict=True)], F.col("prob").alias(prob))
+    cells = F.broadcast(cells) if chances.count() <= PARTITION_CELLS else cells
     keyed = docs.select("*", *[own[d].alias(n) for d, n in zip(DIMS, names, strict=True)])
     return keyed.join(cells, names).where(draw(F.col("doc_id"), seed) < F.col(prob)).select(*docs.columns)
 

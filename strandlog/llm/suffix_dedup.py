@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import byte_table, durable, free_name, mix64
+from strandlog.llm.common import byte_table, durable, free_name, lean_worker, mix64
 from strandlog.llm.shingles import powers
 
 LENGTH = 200
@@ -39,7 +39,7 @@ MOST_BITS = 1 << 30
 #: Texts are packed into groups of about so many bytes.
 GROUP_BYTES = 1 << 22
 #: Positions of a text that are ranked at once, and ranks that are packed at once.
-PIECE, PART_RANKS = 1 << 22, 1 << 21
+PIECE, PART_RANKS = 1 << 21, 1 << 20
 
 _TABLE, _SECOND = byte_table(3), byte_table(5)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -251,6 +251,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     map_bits = max(bucket_bits + 3, min(pow2_at_least(16 * sized / (length - half + 1)), pow2_at_least(MOST_BITS)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         found: list[np.ndarray] = []
         size = 0
 
@@ -295,6 +296,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every row; with its text where it has candidates. route: its least rank, the same for most copies."""
+        lean_worker()
         import zstandard
 
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -369,6 +371,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return distinct_names(np.concatenate([p[2] for p in part]), np.concatenate([p[3] for p in part]))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
@@ -387,6 +390,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     judged = named.mapInArrow(third, "grp string, part bigint, bucket bigint, names binary, twice binary").groupBy("bucket").applyInArrow(second_round, "grp string, part bigint, bucket bigint, stay binary")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean_worker()
         import zstandard
 
         columns: list[list] = [[] for _ in RESULT]
