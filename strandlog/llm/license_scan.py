@@ -5,18 +5,18 @@ a notice which is wrapped over lines is found too. A softmax regression over the
 score for every family and for "unknown"; its scores are calibrated by a temperature fitted on held-out rows. The best
 family stands only if the paragraph also holds enough of one of that family's templates, or a template enough of it.
 
-The words of the templates that are rare in paragraphs without a licence are the classifier's marks: its features are
+The words of the templates that are rare in lines without a licence are the classifier's marks: its features are
 the n-grams that hold one. So a paragraph without a mark is unknown, and only texts with a mark are cut into n-grams.
 
-The classifier is fitted on the driver: on every window of the templates, and on a bounded sample of the corpus's
-lines, which are labelled unknown where they are not near a template. Classifying is one pass over the corpus; equal texts
-with marks are classified once.
+The classifier is fitted on every window of the templates and on every line of the corpus, labelled unknown where it is not
+near a template. A first pass counts the lines with each template word, a second keeps the texts that may hold a mark. Only
+these are cut into n-grams and classified, equal ones once; the driver gets each set of features once, with its number of lines.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -72,12 +72,12 @@ IDENTIFIERS = {
 TEMPLATES = {f: [*ts, *(f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS[f])] for f, ts in TEMPLATES.items()}
 UNKNOWN = "unknown"
 ORDERS = (1, 2, 3)
-#: Lines of the corpus that the classifier is fitted on, at most; they are drawn from about so many documents.
-TRAIN_PARAGRAPHS, TRAIN_DOCS = 2000, 4000
 #: A family stands from this calibrated probability and this share of n-grams in common with a template.
 LEAST_PROBABILITY, LEAST_COMMON = 0.5, 0.6
-#: A template's word is a mark if it stands in at most this share of the sampled lines, or in so many of them at most.
+#: A template's word is a mark if it stands in at most this share of the lines that are not near a template, or in so many of them at most.
 MARK_SHARE, MARK_LINES = 0.005, 2
+#: Lines are told apart by whether they have so many distinct words where those that cannot be near a template are passed over.
+LINE_SIZES = (1, 6, 12)
 #: Findings by text are sent to all tasks up to so many.
 BROADCAST_TEXTS = 100_000
 _GAPS = ",;:!?\"'()[]{}<>|/\\*_=+#&%$@~^`\n\t\r\x0b\x0c\xa0"
@@ -120,32 +120,120 @@ class Classifier:
         return e / e.sum(axis=1, keepdims=True)
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], vocabulary: list[str], marks: list[str], steps: int = 300, rate: float = 1.0, ridge: float = 1e-3) -> Classifier:
-        """By gradient steps on the rows whose crc32 mod 5 is not 0 and on all whole notices; the temperature by a search on the others."""
+    def fit(cls, texts: list[str], labels: list[str], others: list[tuple[list[str], bool, int]], vocabulary: list[str], marks: list[str], steps: int = 300, rate: float = 1.0, ridge: float = 1e-3) -> Classifier:
+        """By gradient steps on the rows whose crc32 mod 5 is not 0 and on all whole notices; the temperature by a search on the
+        others. Every class weighs the same in both. others: the n-grams of unknown lines, whether their crc32 mod 5 is 0, number of lines."""
         classes = [*sorted(TEMPLATES), UNKNOWN]
         at = {g: k for k, g in enumerate(vocabulary)}
-        x = np.zeros((len(texts), len(vocabulary)))
-        for r, t in enumerate(texts):
-            hits = [at[g] for g in ngrams_of(words_of(t)) if g in at]
-            x[r, hits] = 1 / max(1.0, len(hits)) ** 0.5
-        y = np.eye(len(classes))[[classes.index(c) for c in labels]]
+        rows = [[at[g] for g in ngrams_of(words_of(t)) if g in at] for t in texts] + [[at[g] for g in gs] for gs, _, _ in others]
+        truth = np.array([classes.index(c) for c in labels] + [classes.index(UNKNOWN)] * len(others))
         whole = {t for ts in TEMPLATES.values() for t in ts}
-        held = np.array([zlib.crc32(t.encode()) % 5 == 0 and t not in whole for t in texts])
-        share = y[~held].sum(axis=0)
-        balance = (y[~held] / np.maximum(1, share)).sum(axis=1)
-        w, b = np.zeros((x.shape[1], len(classes))), np.zeros(len(classes))
+        held = np.array([zlib.crc32(t.encode()) % 5 == 0 and t not in whole for t in texts] + [h for _, h, _ in others])
+        times = np.array([1.0] * len(texts) + [float(n) for _, _, n in others])
+
+        def balance(chosen: np.ndarray) -> np.ndarray:
+            share = np.bincount(truth[chosen], times[chosen], len(classes))
+            return times[chosen] / np.maximum(1, share)[truth[chosen]]
+
+        x = Sparse([r for r, h in zip(rows, held, strict=True) if not h], len(vocabulary))
+        y, weight = np.eye(len(classes))[truth[~held]], balance(~held)[:, None]
+        w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
         for _ in range(steps):
-            g = (cls.probabilities(x[~held] @ w + b) - y[~held]) * balance[:, None]
-            w -= rate * (x[~held].T @ g + ridge * w)
+            g = (cls.probabilities(x.times(w) + b) - y) * weight
+            w -= rate * (x.transposed_times(g) + ridge * w)
             b -= rate * g.sum(axis=0)
         tried = np.geomspace(0.02, 4, 40)
-        z = (x[held] @ w + b) if held.any() else x @ w + b
-        truth = y[held] if held.any() else y
-        loss = [-np.log(np.maximum(1e-12, (cls.probabilities(z / t) * truth).sum(axis=1))).mean() for t in tried]
+        chosen = held if held.any() else ~held
+        z = Sparse([r for r, c in zip(rows, chosen, strict=True) if c], len(vocabulary)).times(w) + b
+        at_truth, weight = (np.arange(len(z)), truth[chosen]), balance(chosen)
+        loss = [-(np.log(np.maximum(1e-12, cls.probabilities(z / t)[at_truth])) * weight).sum() for t in tried]
         return cls(classes, vocabulary, w, b, float(tried[int(np.argmin(loss))]), marks)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+class Sparse:
+    """Rows of features: 1 / sqrt(their number) at those of the row, else 0."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.n, self.width = len(rows), width
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        self.columns = np.fromiter((c for r in rows for c in r), np.int64, int(sizes.sum()))
+        self.rows = np.repeat(np.arange(self.n), sizes)
+        self.values = (1 / np.sqrt(np.maximum(1, sizes)))[self.rows][:, None]
+        self.order = np.argsort(self.columns, kind="stable")
+
+    @staticmethod
+    def _sums(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the values by key; keys are sorted."""
+        out = np.zeros((n, values.shape[1]))
+        if len(keys):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            out[keys[starts]] = np.add.reduceat(values, starts, axis=0)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[self.columns] * self.values, self.rows, self.n)
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return self._sums((g[self.rows] * self.values)[self.order], self.columns[self.order], self.width)
+
+
+def template_ngrams() -> list[frozenset[str]]:
+    return [frozenset(ngrams_of(words_of(t))) for ts in TEMPLATES.values() for t in ts]
+
+
+def idle_words(by_count: list[str], least: int, idle: frozenset[str]) -> frozenset[str]:
+    """idle and more of the words, the first ones first, that do not make a line near a template where it holds no others of its words.
+
+    For lines of at least so many distinct words: d of them make 3 d - 3 distinct n-grams or more, as each ends one of every
+    order where it first stands, but for the first two words of the line.
+    """
+    notices = [([frozenset(g.split(" ")) for g in n], LEAST_COMMON * min(len(n), max(6, 3 * least - 3))) for n in template_ngrams()]
+    for w in by_count:
+        more = idle | {w}
+        if all(sum(g <= more for g in gs) < need for gs, need in notices):
+            idle = more
+    return idle
+
+
+def held_out(line: Column) -> Column:
+    return F.crc32(line.cast("binary")) % 5 == 0
+
+
+def among(values: Iterable[str]) -> Callable[[Column], Column]:
+    values = sorted(values)
+    return lambda v: v.isin(values)
+
+
+def telling(of: Column, known: list[str], idle: list[frozenset[str]]) -> Column:
+    """Whether a line's words hold a known one that is not idle in lines of its size; other lines are not near a template."""
+    found = F.exists(of, among(set(known) - idle[0]))
+    for size, still in zip(LINE_SIZES[1:], idle[1:], strict=True):
+        found = F.exists(of, among(set(known) - still)) | ((F.size(F.array_distinct(of)) < size) & found)
+    return found
+
+
+def lines_by_ngrams(lines: DataFrame, known: list[str], idle: list[frozenset[str]]) -> DataFrame:
+    """near (a template), held, hits (sorted n-grams of templates), n (lines) of the telling lines. lines: line."""
+    notices = template_ngrams()
+    hits_of = lambda g: F.struct(F.size(g).alias("size"), F.array_sort(F.filter(g, among(frozenset().union(*notices)))).alias("hits"))
+    # words and n-grams are cut once: outside a lambda they would be cut again for each use
+    cut = F.transform(F.array(words(F.col("line"))), lambda of: F.when(telling(of, known, idle), F.transform(F.array(ngrams(of)), hits_of)[0]))[0]
+    told = lines.select(held_out(F.col("line")).alias("held"), cut.alias("cut")).where("cut IS NOT NULL").select("held", "cut.size", "cut.hits")
+    # as text, since thousands of literals take seconds one by one; n-grams hold no quotes or backslashes
+    listed = [", ".join(f"'{g}'" for g in sorted(n)) for n in notices]
+    near = " OR ".join(f"size(filter(hits, h -> h IN ({gs}))) >= {LEAST_COMMON}D * least({len(n)}, greatest(6, size))" for n, gs in zip(notices, listed, strict=True))
+    least = min(LEAST_COMMON * min(len(n), 6) for n in notices)
+    return told.select(F.expr(f"size(hits) >= {least}D AND ({near})").alias("near"), "held", "hits").groupBy("near", "held", "hits").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """line of every line that is not blank. texts: text."""
+    return texts.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim(F.translate("line", "\t\r", "  ")) != "")
+
+
+def fitted(rows: DataFrame) -> tuple[Classifier, DataFrame]:
+    """The classifier fitted on all lines of rows, each as often as it is there; and doc_id, held (key, text) of rows, where
+    held is null in texts without a telling line, which have no mark. rows: doc_id, text, not null."""
     texts, labels = [], []
     for family, notices in TEMPLATES.items():
         for notice in notices:
@@ -153,21 +241,39 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cl
             windows = {" ".join(of[a : a + n]) for n in {6, max(4, len(of) // 2), len(of)} for a in range(len(of) - n + 1)}
             texts += sorted(windows)
             labels += [family] * len(windows)
-    notices = [frozenset(ngrams_of(words_of(t))) for ts in TEMPLATES.values() for t in ts]
-    # documents and lines with the least hashes, so the sample does not depend on the order of rows
-    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    lines = drawn.select(F.explode(F.split(F.coalesce(docs[text_col].cast("string"), F.lit("")), "\n")).alias("line")).where("trim(line) <> '' AND length(line) < 2000")
-    others = []
-    for r in lines.orderBy(F.xxhash64("line"), "line").limit(TRAIN_PARAGRAPHS).collect():
-        grams = set(ngrams_of(words_of(r["line"])))
-        if all(len(grams & n) < LEAST_COMMON * min(len(n), max(6, len(grams))) for n in notices):
-            others.append(r["line"])
-    seen = Counter(w for t in others for w in set(words_of(t)))
-    most = max(MARK_LINES, MARK_SHARE * len(others))
-    marks = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t) if seen[w] <= most})
-    vocabulary = sorted({g for n in notices for g in n if not set(marks).isdisjoint(g.split())})
-    return Classifier.fit(texts + others, labels + [UNKNOWN] * len(others), vocabulary, marks)
+    known = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    # the lines that hold each template word; the entries with a blank stand for all lines, held out or not
+    one = F.when(held_out(F.col("line")), " held").otherwise(" fitted")
+    found = F.array_append(F.array_distinct(F.filter(words(F.col("line")), among(known))), one)
+    counts = {r["word"]: r["n"] for r in lines_of(rows).select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_lines = {h: counts.get(" held" if h else " fitted", 0) for h in (False, True)}
+    frequent = [w for w in sorted(known, key=lambda w: (-counts.get(w, 0), w)) if counts.get(w, 0) > max(MARK_LINES, MARK_SHARE * sum(n_lines.values()))]
+    while True:
+        idle: list[frozenset[str]] = []
+        for least in LINE_SIZES:
+            idle.append(idle_words(frequent, least, idle[-1] if idle else frozenset()))
+        tells = F.exists(F.transform(F.split("text", "\n"), words), lambda of: telling(of, known, idle))
+        told = durable(rows.select("doc_id", F.when(tells, F.struct(F.md5(F.col("text").cast("binary")).alias("key"), "text")).alias("held")))
+        lines = durable(lines_by_ngrams(lines_of(told.where("held IS NOT NULL").select("held.text")), known, idle))
+        near = {r["held"]: r["n"] for r in lines.where("near").groupBy("held").agg(F.sum("n").alias("n")).collect()}
+        near_with = {r["hit"]: r["n"] for r in lines.where("near").select("n", F.explode("hits").alias("hit")).where(among(known)(F.col("hit"))).groupBy("hit").agg(F.sum("n").alias("n")).collect()}
+        n_others = {h: n_lines[h] - near.get(h, 0) for h in n_lines}
+        most = max(MARK_LINES, MARK_SHARE * sum(n_others.values()))
+        marks = [w for w in known if counts.get(w, 0) - near_with.get(w, 0) <= most]
+        if idle[-1].isdisjoint(marks):
+            break
+        # frequent words that hardly stand in other lines than licences: lines with them are needed too; the marks stay as they are
+        frequent = [w for w in frequent if w not in marks]
+    vocabulary = sorted({g for n in template_ngrams() for g in n if not set(marks).isdisjoint(g.split(" "))})
+    features = lines.where(~F.col("near")).select("held", "n", F.filter("hits", among(vocabulary)).alias("hits")).where(F.size("hits") > 0)
+    others = sorted((r["hits"], r["held"], r["n"]) for r in features.groupBy("held", "hits").agg(F.sum("n").alias("n")).toLocalIterator())
+    without = [([], h, n_others[h] - sum(n for _, held, n in others if held == h)) for h in n_others]
+    return Classifier.fit(texts, labels, others + [o for o in without if o[2]], vocabulary, marks), told
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Classifier:
+    """Fitted on all lines of docs."""
+    return fitted(docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")))[0]
 
 
 def scored(units: DataFrame, made: Classifier, least_probability: float, least_common: float) -> DataFrame:
@@ -229,12 +335,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows without a licence have no families. Null ids stay null; rows that share an id are told apart, and rows with equal texts
     have equal findings. Other columns are not read.
     """
-    made = train(docs, id_col, text_col)
+    made, held = fitted(docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")))
     marks = F.array(*[F.lit(m) for m in made.marks]).cast("array<string>")
-    text = F.col("_text")
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
-    held = durable(rows.select("doc_id", F.when(F.arrays_overlap(words(text), marks), F.struct(F.md5(text.cast("binary")).alias("key"), text.alias("text"))).alias("held")))
-    texts = held.where("held IS NOT NULL").select("held.key", "held.text").dropDuplicates(["key"])
+    texts = held.where("held IS NOT NULL").select("held.key", "held.text").where(F.arrays_overlap(words(F.col("text")), marks)).dropDuplicates(["key"])
     found = scan(texts, made).where(F.col("family") != UNKNOWN)
     by = found.groupBy("key").agg(
         F.collect_set(F.when(~F.col("whole"), F.col("family"))).alias("l"), F.collect_list(F.when(F.col("whole"), F.struct("family", "line"))).alias("w"), F.count_if(~F.col("whole")).alias("n"),

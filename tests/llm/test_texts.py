@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -266,6 +267,55 @@ def test_licences_against_brute_force(spark):
     assert found == {k: brute_licences(made, t) for k, t in rows}
 
 
+def test_licence_classifier_is_fitted_on_all_lines(spark):
+    draw = random.Random(31)
+    every = [t.split() for ts in license_scan.TEMPLATES.values() for t in ts]
+    common = "the of to and in is for this that with license".split()
+    lines = [" ".join(draw.choices(["river", "stone", "light", *common[:-1]], k=draw.randrange(1, 40))) for _ in range(5000)]
+    lines += [" ".join(draw.choices(common, k=draw.randrange(1, 9))) for _ in range(300)]
+    for _ in range(600):
+        of = draw.choice(every)
+        a = draw.randrange(len(of))
+        lines.append(" ".join(draw.choices(common, k=draw.randrange(4)) + of[a : a + draw.randrange(1, 30)]))
+    lines += ["the copyright of stone"] * 31 + ["river permission"] * 15 + [f"conditions {k} " + "of light " * 300 for k in range(31)] + [" \t", "--", ""] * 9
+    draw.shuffle(lines)
+    docs = spark.createDataFrame([(k, "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(len(lines) // 10 + 1)], "doc_id bigint, text string")
+    made = license_scan.train(docs)
+
+    notices = [set(license_scan.ngrams_of(license_scan.words_of(t))) for ts in license_scan.TEMPLATES.values() for t in ts]
+    others = []
+    for x in lines:
+        grams = set(license_scan.ngrams_of(license_scan.words_of(x)))
+        if x.strip() and all(len(grams & n) < license_scan.LEAST_COMMON * min(len(n), max(6, len(grams))) for n in notices):
+            others.append((x, grams))
+    assert 5500 < len(others) < 6000
+    seen = Counter(w for _, gs in others for w in gs if " " not in w)
+    marks = sorted({w for ts in license_scan.TEMPLATES.values() for t in ts for w in license_scan.words_of(t) if seen[w] <= license_scan.MARK_SHARE * len(others)})
+    assert made.marks == marks and "permission" in marks and not {"copyright", "conditions"} & set(marks)
+    vocabulary = sorted({g for n in notices for g in n if set(g.split()) & set(marks)})
+    alike = Counter((tuple(sorted(gs & set(vocabulary))), zlib.crc32(x.encode()) % 5 == 0) for x, gs in others)
+    texts, labels = [], []
+    for family, ts in license_scan.TEMPLATES.items():
+        for of in (t.split() for t in ts):
+            windows = {" ".join(of[a : a + n]) for n in {6, max(4, len(of) // 2), len(of)} for a in range(len(of) - n + 1)}
+            texts += sorted(windows)
+            labels += [family] * len(windows)
+    plain = license_scan.Classifier.fit(texts, labels, [(list(gs), h, n) for (gs, h), n in alike.items()], vocabulary, marks)
+    assert made.vocabulary == vocabulary and made.temperature == plain.temperature
+    assert abs(made.weights - plain.weights).max() < 1e-6 and abs(made.bias - plain.bias).max() < 1e-6
+
+
+def test_licence_classifier_counts_lines_like_single_ones(monkeypatch):
+    monkeypatch.setattr(license_scan, "TEMPLATES", {"a": ["one two three"], "b": ["four five"]})
+    one, many = ["one two three", "four five"], ["a", "b"]
+    vocabulary = ["four", "one", "one two", "two"]
+    rows = [(["one"], False), ([], False), (["four"], True), ([], True)]
+    times = [3, 7, 2, 5]
+    single = license_scan.Classifier.fit(one, many, [(*r, 1) for r, n in zip(rows, times, strict=True) for _ in range(n)], vocabulary, [], steps=50)
+    counted = license_scan.Classifier.fit(one, many, [(*r, n) for r, n in zip(rows, times, strict=True)], vocabulary, [], steps=50)
+    assert single.temperature == counted.temperature and abs(single.weights - counted.weights).max() < 1e-9 and abs(single.bias - counted.bias).max() < 1e-9
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello my dear friend there"), (1, 1, "a", "> Hello my dear friend there\n\nI answer you with this"),
