@@ -67,7 +67,7 @@ def test_models_begin_on_executors(tmp_path, spark, monkeypatch, kind, upcast):
         assert told(begun.rows) == told(paged.rows)
 
 
-@pytest.mark.parametrize("name", ["cross_tenant_processor", "persisted_model_rows"])
+@pytest.mark.parametrize("name", ["cross_tenant_processor", "persisted_model_rows", "live_model_page"])
 def test_model_queries_bring_no_records_to_the_driver(spark, monkeypatch, name):
     sizes, query = [], FileStore.query
     monkeypatch.setattr(FileStore, "query", lambda *a, **o: (r := query(*a, **o), sizes.append(len(r.events)))[0])
