@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.sources.files import checkpointed
+from strandlog.sources.files import shared_folder
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with name: 1 to n in the given order; ties get any order among themselves.
 
-    Ranges of the order are numbered each on its own and moved by the sizes of the ranges before them; the sizes, one
-    for each range, are the only thing that one task sorts. The ranged rows are written to the shared folder, because a
-    second sampling could cut other ranges.
+    Rows are shuffled once, to ranges of the order, and each range is written sorted to the shared folder as a file, because a
+    second sampling could cut other ranges. A row's number is its place in its file, moved by the sizes of the files before;
+    the sizes are all that the driver sees.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return own.join(F.broadcast(before), "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = f"{shared_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(place)
+    ranged = spark.read.schema(df.schema).parquet(place).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_own"))
+    before, rows = [], 0
+    # names begin with the number of the range
+    for r in sorted(ranged.groupBy("_file").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_file"]):
+        before.append((r["_file"], rows))
+        rows += r["n"]
+    starts = spark.createDataFrame(before, "_file string, _before bigint")
+    return ranged.join(F.broadcast(starts), "_file").select(*df.columns, (F.col("_own") + F.col("_before") + 1).cast("long").alias(name))

@@ -44,14 +44,16 @@ class Log:
         return F.lit(True) if self.watermark is None else F.col("transaction_id") < self.watermark
 
 
-def extracted(df: DataFrame, scope_keys: tuple[str, ...]) -> DataFrame:
-    """A log's physical columns from sequence, transaction_id, event_type, payload, recorded_at: what a writer adds."""
-    # inside the lambda the payload is parsed once for all keys, also where a filter repeats the expression
-    found = F.transform(F.array(F.parse_json("payload")), lambda v: F.struct(*[scope_value(v, k).alias(k) for k in scope_keys]))[0]
+def extracted(df: DataFrame, scope_keys: tuple[str, ...], fields: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """A log's physical columns from sequence, transaction_id, event_type, payload, recorded_at: what a writer adds. fields:
+    further columns by name, from the parsed payload."""
+    wanted = {f"scope_{k}": (lambda v, k=k: scope_value(v, k)) for k in scope_keys} | (fields or {})
     own = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$."), default_id_key_column(F.col("event_type"))))
-    if not scope_keys:
+    if not wanted:
         return df.select("*", own.alias("event_id"))
-    return df.withColumn("_s", found).select(*df.columns, own.alias("event_id"), *[F.col("_s").getField(k).alias(f"scope_{k}") for k in scope_keys])
+    # inside the lambda the payload is parsed once for all columns, also where a filter repeats the expression
+    found = F.transform(F.array(F.parse_json("payload")), lambda v: F.struct(*[f(v).alias(n) for n, f in wanted.items()]))[0]
+    return df.withColumn("_s", found).select(*df.columns, own.alias("event_id"), *[F.col("_s").getField(n).alias(n) for n in wanted])
 
 
 EVENT_KEYS = ("userId", "tenantId")
@@ -100,21 +102,21 @@ def store_of(spark: SparkSession, folder: str, keys: tuple[str, ...], tenant_key
     return FileStore(folder, Schema(tuple(keys), tenant_key=tenant_key, strict=False), files=HadoopFiles(spark), fields={"cents": "bigint"})
 
 
-def new_store(spark: SparkSession, frame: DataFrame, keys: tuple[str, ...], tenant_key: str | None):
+def new_store(spark: SparkSession, frame: DataFrame, keys: tuple[str, ...], tenant_key: str | None, in_order: bool = False):
     """A store in a folder of its own that is filled from a frame."""
     import uuid
 
     from strandlog.sources.files import shared_folder
 
     store = store_of(spark, f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}", keys, tenant_key)
-    store.import_frame(spark, frame)
+    store.import_frame(spark, frame, in_order)
     return store
 
 
 def stored_folder(spark: SparkSession, sf_dir: str, name: str, frame: Callable[[SparkSession, str], DataFrame], keys: tuple[str, ...], tenant_key: str | None) -> str:
     made = spark.sparkContext.applicationId, sf_dir, name
     if made not in _stored:
-        _stored[made] = new_store(spark, frame(spark, sf_dir), keys, tenant_key).directory
+        _stored[made] = new_store(spark, frame(spark, sf_dir), keys, tenant_key, frame is orders_frame).directory
     return _stored[made]
 
 
@@ -144,8 +146,8 @@ log AS (SELECT *, json_extract_string(payload, '$.' || id_key) AS event_id,
 def sequenced(df: DataFrame, order: list[str]) -> DataFrame:
     """df with sequence: 1 to n in the given order, without bringing all rows to one task.
 
-    Rows are dealt by range and numbered inside their range; a range starts after the rows of those before it. What
-    reaches the driver is one count for each range.
+    Rows are dealt by range and numbered inside their range; a range starts after the rows of those before it, and is one
+    file that is read in order. What reaches the driver is one count for each range.
     """
     from strandlog.operators.windows import numbered
 
@@ -153,30 +155,30 @@ def sequenced(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers, orders and lines as records: adoption of three tables with their back-links, numbered in one order."""
+    """Customers, orders and lines as records: adoption of three tables with their back-links, numbered in one order. Only
+    numbers are sorted; the texts are made of them after that."""
     c, o, i = (read_table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     none = F.lit(0).cast("long")
 
-    def part(df: DataFrame, rank: int, type_: str, key: Column, link: Column, a: Column, b: Column, rest: list[Column]) -> DataFrame:
+    def part(df: DataFrame, rank: int, link: Column, a: str, b: Column, rest: list[Column]) -> DataFrame:
         more = [x.alias(f"o{n}") for n, x in enumerate(rest)]
-        return df.select(F.lit(rank).alias("rank"), F.lit(type_).alias("event_type"), key.alias("event_id"), link.alias("link"), a.cast("long").alias("a"), b.cast("long").alias("b"), *more)
+        return df.select(F.lit(rank).alias("rank"), link.cast("long").alias("link"), F.col(a).cast("long").alias("a"), b.cast("long").alias("b"), *more)
 
     money = lambda x: F.round(F.col(x) * 100).cast("long")
     empty = [none, none, none, none]
-    all_ = part(c, 1, "CustomerRegistered", F.concat(F.lit("c"), "c_custkey"), F.lit(None).cast("string"), F.col("c_custkey"), none, empty)
-    all_ = all_.unionByName(part(o, 2, "OrderPlaced", F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey"), F.col("o_orderkey"), none, empty))
+    all_ = part(c, 1, F.lit(None), "c_custkey", none, empty).unionByName(part(o, 2, F.col("o_custkey"), "o_orderkey", none, empty))
     day = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long")
     lines = [F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"), day, money("l_extendedprice")]
-    all_ = all_.unionByName(part(i, 3, "LineShipped", F.lit(None).cast("string"), F.concat(F.lit("o"), "l_orderkey"), F.col("l_orderkey"), F.col("l_linenumber"), lines))
+    all_ = all_.unionByName(part(i, 3, F.lit(None), "l_orderkey", F.col("l_linenumber"), lines))
     made = sequenced(all_, ["rank", "a", "b", "o0", "o1", "o2", "o3"])
-    is_order, is_line = F.col("event_type") == "OrderPlaced", F.col("event_type") == "LineShipped"
-    quoted = lambda key, value: F.concat(F.lit(f'"{key}":"'), value, F.lit('"'))
-    own = quoted("customerRegisteredId", F.col("event_id")), quoted("orderPlacedId", F.col("event_id"))
-    link = lambda key: F.concat(F.lit('"scopes":{'), quoted(key, F.col("link")), F.lit("}"))
-    is_order, is_line = F.col("event_type") == "OrderPlaced", F.col("event_type") == "LineShipped"
-    body = F.when(is_line, F.concat(F.lit('"cents":'), "o3", F.lit(","), link("orderPlacedId"))).when(is_order, F.concat(own[1], F.lit(","), link("customerRegisteredId"))).otherwise(own[0])
+    is_order, is_line = F.col("rank") == 2, F.col("rank") == 3
+    quoted = lambda key, letter, value: F.concat(F.lit(f'"{key}":"{letter}'), value, F.lit('"'))
+    customer, order = (lambda v: quoted("customerRegisteredId", "c", v)), (lambda v: quoted("orderPlacedId", "o", v))
+    link = lambda value: F.concat(F.lit('"scopes":{'), value, F.lit("}"))
+    body = F.when(is_line, F.concat(F.lit('"cents":'), "o3", F.lit(","), link(order("a")))).when(is_order, F.concat(order("a"), F.lit(","), link(customer("link")))).otherwise(customer("a"))
+    type_ = F.when(is_line, "LineShipped").when(is_order, "OrderPlaced").otherwise("CustomerRegistered")
     payload = F.concat(F.lit("{"), body, F.lit("}"))
-    return made.select("sequence", (F.floor((F.col("sequence") - 1) / TRANSACTION_EVENTS) + 1).cast("long").alias("transaction_id"), "event_type", payload.alias("payload"))
+    return made.select("sequence", (F.floor((F.col("sequence") - 1) / TRANSACTION_EVENTS) + 1).cast("long").alias("transaction_id"), type_.alias("event_type"), payload.alias("payload"))
 
 
 ORDERS_LOG_SQL = """parts AS (SELECT 1 AS rank, 'CustomerRegistered' AS event_type, 'c' || c_custkey AS event_id, NULL AS link, c_custkey AS a, 0 AS b, 0 AS o0, 0 AS o1, 0 AS o2, 0 AS o3 FROM customer

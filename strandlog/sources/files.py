@@ -10,6 +10,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,6 +162,20 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
+@contextmanager
+def one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside reads each file whole in a task of its own, so sorted files stay ranges of their order."""
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, str(1 << 40))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared folder; Spark's cleaner deletes the files when the frame goes, where it is set to."""
     spark = df.sparkSession

@@ -73,3 +73,20 @@ def test_model_queries_bring_no_records_to_the_driver(spark, monkeypatch, name):
     monkeypatch.setattr(FileStore, "query", lambda *a, **o: (r := query(*a, **o), sizes.append(len(r.events)))[0])
     catalogue.queries()[name](spark, DATA).collect()
     assert sizes and sum(sizes) == 0
+
+
+def test_orders_log_is_shuffled_once(spark):
+    """Numbering and import together: one shuffle of the rows, and files that are ranges of the sequence."""
+    from strandlog.sources.canonical import ORDER_KEYS, new_store, orders_frame
+
+    java = spark._jvm.java.util
+    stages = lambda: spark._jsc.sc().statusStore().stageList(java.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java.ArrayList())
+    shuffled = lambda: sum(s.shuffleWriteRecords() for s in (stages().apply(k) for k in range(stages().size())))
+    before = shuffled()
+    store = new_store(spark, orders_frame(spark, DATA), ORDER_KEYS, None, True)
+    rows = sum(s.rows for s in store.segments())
+    assert rows == store.segments()[-1].last == sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("customer", "orders", "lineitem")) and shuffled() - before < 1.1 * rows + 500
+    assert all(a.last + 1 == b.first for a, b in zip(store.segments(), store.segments()[1:], strict=False))
+    for s in store.segments():
+        own = [r["sequence"] for r in store._rows_of(s)]
+        assert own == list(range(s.first, s.last + 1))
