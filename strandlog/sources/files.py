@@ -6,6 +6,7 @@ file systems have it by hard links; on others it is a rename that does not overw
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
@@ -17,6 +18,31 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Part(io.RawIOBase):
+    """A file that is read in parts, where they are asked for."""
+
+    def __init__(self, files: Any, path: str):
+        self.files, self.path, self.length, self.at = files, path, files.size(path), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = offset + (0, self.at, self.length)[whence]
+        return self.at
+
+    def read(self, size: int = -1) -> bytes:
+        found = self.files.read_part(self.path, self.at, self.length - self.at if size is None or size < 0 else min(size, self.length - self.at))
+        self.at += len(found)
+        return found
+
+
 class LocalFiles:
     def read(self, path: str) -> bytes:
         with open(path, "rb") as f:
@@ -95,6 +121,8 @@ class HadoopFiles:
 
     def size(self, path: str) -> int:
         fs, at = self._at(path)
+        if not fs.exists(at):
+            raise FileNotFoundError(path)
         return fs.getFileStatus(at).getLen()
 
     def put_new(self, path: str, body: bytes) -> bool:

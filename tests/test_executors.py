@@ -90,3 +90,32 @@ def test_orders_log_is_shuffled_once(spark):
     for s in store.segments():
         own = [r["sequence"] for r in store._rows_of(s)]
         assert own == list(range(s.first, s.last + 1))
+
+
+def test_a_context_reads_columns_first(spark, monkeypatch):
+    """A context over a long log makes rows of what may match, and the version is not looked for on every page."""
+    from strandlog.functions.filters import scope
+    from strandlog.operators.context import ContextCache
+    from strandlog.sources import store as module
+    from strandlog.sources.canonical import EVENT_KEYS, events_frame, new_store, store_of
+
+    monkeypatch.setattr(module, "MOST_WHOLE", 10)
+    store = new_store(spark, events_frame(spark, DATA), EVENT_KEYS, "tenantId")
+    whole = store_of(spark, store.directory, EVENT_KEYS, "tenantId")
+    every = [r for s in whole.segments() for r in whole._rows_of(s)]
+    wanted = [r for r in every if r["scope_userId"] == "u7"]
+    assert len(wanted) > 6
+    looked, last = [], FileStore._last_match
+    monkeypatch.setattr(FileStore, "_last_match", lambda *a: looked.append(a) or last(*a))
+    cache = ContextCache(store, page=3)
+    fold = lambda events, s: [*s, *(e.sequence for e in events)]
+    found = cache.load(scope("userId", "u7"), fold, [])
+    assert found.state == [r["sequence"] for r in wanted] and found.ctx[1] == max(found.state) and not looked
+    assert sum(map(len, store._rows.values())) == len(wanted) < len(every)
+    again = cache.load(scope("userId", "u7"), fold, [])
+    assert again.cache_hit and (again.state, again.ctx[1]) == (found.state, found.ctx[1])
+    for query in [{"types": ["error"]}, [{"types": ["click"], "scopes": {"tenantId": "t2"}}, scope("userId", ["u1", "u2"])], {"types": []}, {"types": ["view"], "not": {"scopes": {"userId": "u3"}}}]:
+        monkeypatch.setattr(module, "MOST_WHOLE", 10)
+        some = store_of(spark, store.directory, EVENT_KEYS, "tenantId").query(query)
+        monkeypatch.setattr(module, "MOST_WHOLE", 1 << 40)
+        assert some == store_of(spark, store.directory, EVENT_KEYS, "tenantId").query(query)
