@@ -119,3 +119,13 @@ def test_a_context_reads_columns_first(spark, monkeypatch):
         some = store_of(spark, store.directory, EVENT_KEYS, "tenantId").query(query)
         monkeypatch.setattr(module, "MOST_WHOLE", 1 << 40)
         assert some == store_of(spark, store.directory, EVENT_KEYS, "tenantId").query(query)
+
+
+def test_import_of_a_frame_that_is_not_in_order(spark):
+    """A frame whose files are no ranges of the sequence, though it was said to be in order, is sorted after all."""
+    from strandlog.sources.canonical import ORDER_KEYS, new_store, orders_frame
+
+    mixed = orders_frame(spark, DATA).repartition(3)
+    store = new_store(spark, mixed, ORDER_KEYS, None, True)
+    found = [r["sequence"] for s in store.segments() for r in store._rows_of(s)]
+    assert found == list(range(1, mixed.count() + 1)) and all(a.last < b.first for a, b in zip(store.segments(), store.segments()[1:], strict=False))
